@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, knn, packing, pii, tokens, toxicity, winnow
+from . import bpe, html, jaccard, knn, packing, pii, suffix, tokens, toxicity, winnow
 from .arrays import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -15,6 +15,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.winnow_neighbours(read(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "severity", "toxic")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op10_toxicity)}
 
 _KNN = """
 WITH v AS (
