@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, knn, packing, pii, suffix, tokens, toxicity, winnow
+from . import bpe, html, jaccard, knn, lm, packing, pii, suffix, tokens, toxicity, winnow
 from .arrays import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,12 +44,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"), tokens.path(RANKS))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "severity", "toxic")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op9_lm_scoring, op10_toxicity)}
 
 _KNN = """
 WITH v AS (
