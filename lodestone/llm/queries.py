@@ -53,7 +53,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "severity", "toxic")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op9_lm_scoring, op10_toxicity)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_winnowing, op4_voronoi_knn, op5_byte_bpe, op6_best_fit_packing, op7_ngram_jaccard, op8_pii, op9_lm_scoring, op10_toxicity, pipeline)}
 
 _KNN = """
 WITH v AS (
