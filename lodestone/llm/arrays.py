@@ -26,7 +26,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "forward"
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n + n // 8, 1 << 16)
         steps = np.full(size, INVERSE if inverse else BASE, dtype=np.uint64)
         steps[0] = 1
         _POWERS[key] = have = np.multiply.accumulate(steps)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .arrays import blocks, mix, partitions, powers, prefix_sums
 
 K, WINDOW = 20, 81
+#: Bytes of text fingerprinted at once; arrays take about 100 times as much memory.
+BLOCK = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -165,7 +167,7 @@ def winnow_neighbours(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         ids: list = []
         texts: list[str] = []
-        for block in blocks(batches, 2 << 20, "text"):
+        for block in blocks(batches, BLOCK, "text"):
             for guest, doc, text in zip(block.column(1).to_pylist(), block.column(2).to_pylist(), block.column(3).to_pylist(), strict=True):
                 if not guest:
                     ids.append(doc)
