@@ -103,7 +103,7 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 1 << 20):
             hashes, _ = shingles(*text_bytes(block.column(0)), words)
             total += np.bincount(_slot(hashes[_counted(hashes)]), minlength=SLOTS).astype(np.uint32)
         if total.any():
@@ -204,7 +204,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     table = spark.sparkContext.broadcast(frequency_table(docs, words))  # SLOTS bytes
 
     def describe(batches):
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 1 << 20):
             hashes, at = shingles(*text_bytes(block.column(1)), words)
             keys = ordered_keys(hashes, table.value)
             signs, prefixes = [], []
@@ -240,7 +240,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
 
     def full_sets(batches):
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 1 << 20):
             bit = np.asarray(block.column(2))
             hit = (wanted.value[bit // 64] >> (bit % 64)) & 1
             block = block.filter(pa.array(hit.astype(bool)))

@@ -81,7 +81,7 @@ class SuffixIndex:
         """Sort a batch of (did, mark, text), scan it against the levels, merge equal-sized levels."""
 
         def entries(batches):
-            for block in blocks(batches, 4 << 20):
+            for block in blocks(batches, 1 << 20):
                 _, _, _, _, key, context, _ = sampled(*text_bytes(block.column(0)))
                 if len(key):
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], names=["key", "context"])
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     def suffixes(batches):
         """Suffixes whose key may be in two places; the first with a context in a task has its bytes."""
         sent: set[int] = set()
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 1 << 20):
             data, at = text_bytes(block.column(2))
             text, _, lo, hi, key, context, _ = sampled(data, at)
             keep = _has(any_of.value, key)
@@ -232,7 +232,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
         def single(batches):
             """Every window of the suffixes with a hot key, by the hash of its bytes."""
-            for block in blocks(batches, 4 << 20):
+            for block in blocks(batches, 1 << 20):
                 data, at = text_bytes(block.column(2))
                 text, _, lo, hi, key, _, sums = sampled(data, at)
                 keep = np.flatnonzero(_has(hot.value, key))
