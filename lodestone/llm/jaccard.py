@@ -7,10 +7,12 @@
 2. Equal sets collapse to one node, the smallest doc_id that has it.
 3. Nodes that share a prefix shingle, with sizes in reach of each other, get a common candidate
    component: the nodes of a shingle are chained to a leader by size, never paired.
-4. Each candidate component's sets meet in one task (in pairs of blocks, if it is large), where a
-   local prefix join with size, positional and suffix filters verifies each pair at most once and
-   leaves out pairs that are connected already. No link between components can be missed.
-5. The links' components are the result.
+4. The prefixes of a candidate component meet (in pairs of blocks, if it is large): sets that have
+   too few prefix shingles in common can't be linked, which leaves small components.
+5. The whole sets of these meet likewise, where a local prefix join with size, positional and
+   suffix filters verifies each pair at most once and passes over pairs that are connected already.
+   No link between components can be missed.
+6. The links' components are the result.
 """
 
 from __future__ import annotations
@@ -126,8 +128,48 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1.0 + table)).astype(np.uint8)
 
 
-def _solve(root_of: list[int], nodes, sets, sides, percent: int, cross: bool):
-    """Links that join the members of one candidate component (in cross mode: of its two blocks)."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _need(nx: int, ny: int, percent: int) -> int:
+    """Least intersection of linked sets of these sizes."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def _may_link(a: np.ndarray, nx: int, b: np.ndarray, ny: int, percent: int) -> bool:
+    """Whether sets with these prefixes may be linked: of the set whose prefix ends first all common
+    shingles that it can have are those in the prefixes and the rest of the set."""
+    if not len(a) or not len(b):
+        return False
+    rest = nx - len(a) if a[-1] <= b[-1] else ny - len(b)
+    return _common(a, b) + rest >= _need(nx, ny, percent)
+
+
+def _link(sx: np.ndarray, sy: np.ndarray, px: int, py: int, percent: int) -> bool:
+    """Whether two whole sets, whose first common shingle is at px and py at the latest, are linked."""
+    nx, ny = len(sx), len(sy)
+    need = _need(nx, ny, percent)
+    if min(nx - px, ny - py) < need:
+        return False  # position
+    middle = px + (nx - px) // 2
+    split = int(np.searchsorted(sy, sx[middle]))
+    if abs((middle - px) - (split - py)) + abs((nx - middle) - (ny - split)) > nx + ny - 2 * need:
+        return False  # the suffixes, cut at one shingle, differ too much in size
+    common = _common(sx, sy)
+    return 100 * common >= percent * (nx + ny - common)
+
+
+def _solve(nodes, prefixes, sizes, linked, sides, percent: int, cross: bool):
+    """Links that join the members of one candidate component (in cross mode: of its two blocks).
+
+    Members come in order of size. Postings of a shingle are kept by component, so that members
+    which are connected already are passed over together; linked(x, y, px, py) is asked once a pair.
+    """
+    root_of = list(range(len(nodes)))
 
     def find(i: int) -> int:
         while root_of[i] != i:
@@ -137,62 +179,52 @@ def _solve(root_of: list[int], nodes, sets, sides, percent: int, cross: bool):
 
     links = []
     postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
-    for x in order:
-        sx, nx = sets[x], len(sets[x])
-        prefix = sx[: prefix_length(nx, percent)].tolist()
-        candidates: dict[int, dict[int, tuple[int, int]]] = {}
-        for px, key in enumerate(prefix):
+    for x in sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i])):
+        prefix = prefixes[x].tolist()
+        roots: dict[int, None] = {}
+        for key in prefix:
             lists = postings.get(key)
-            if not lists:
-                continue
-            for r in list(lists):
-                now = find(r)
-                if now != r:  # merged since: keep one list for each component
-                    lists.setdefault(now, []).extend(lists.pop(r))
-            for r, members in lists.items():
-                seen = candidates.setdefault(r, {})
-                for y, py in members:
-                    if y not in seen:
-                        seen[y] = (px, py)
-                    if not cross and len(seen) > 64:
-                        break  # the rest of a large component is looked up only if these don't link
+            if lists:
+                for r in list(lists):
+                    now = find(r)
+                    if now != r:  # merged since: one list for each component
+                        lists.setdefault(now, []).extend(lists.pop(r))
+                    roots[now] = None
         mine = find(x)
-        for r, seen in candidates.items():
+        for r in roots:
             if find(r) == mine:
                 continue
-            if not cross and len(seen) > 64:
-                full = {}
-                for px, key in enumerate(prefix):
-                    for y, py in postings.get(key, {}).get(r, ()):
-                        full.setdefault(y, (px, py))
-                seen = seen | {y: p for y, p in full.items() if y not in seen}
-            for y, (px, py) in reversed(seen.items()):
-                if cross and sides[x] == sides[y]:
+            asked = set()
+            for px, key in enumerate(prefix):
+                for y, py in reversed(postings.get(key, {}).get(r, ())):
+                    if y in asked or cross and sides[x] == sides[y]:
+                        continue
+                    asked.add(y)
+                    if 100 * sizes[y] >= percent * sizes[x] and linked(x, y, px, py):
+                        links.append((nodes[x], nodes[y]))
+                        root_of[find(y)] = mine
+                        break
+                else:
                     continue
-                sy, ny = sets[y], len(sets[y])
-                if 100 * ny < percent * nx:
-                    continue  # size
-                need = -(-percent * (nx + ny) // (100 + percent))
-                if min(nx - px, ny - py) < need:
-                    continue  # position of the first common shingle
-                allowed = nx + ny - 2 * need
-                middle = px + (nx - px) // 2
-                split = int(np.searchsorted(sy, sx[middle]))
-                if abs((middle - px) - (split - py)) + abs((nx - middle) - (ny - split)) > allowed:
-                    continue  # suffixes cut at one shingle differ too much in size
-                at = np.searchsorted(sy, sx)
-                at[at == ny] = 0
-                if 100 * (common := int((sy[at] == sx).sum())) >= percent * (nx + ny - common):
-                    links.append((nodes[x], nodes[y]))
-                    root_of[find(y)] = mine
-                    break
+                break
         here = find(x)
         for px, key in enumerate(prefix):
             postings.setdefault(key, {}).setdefault(here, []).append((x, px))
     return links
 
 
+def _in_blocks(members, weight: str):
+    """Rows of candidate components (root, node, weight of the component, ...) dealt to pairs of blocks.
+
+    A component up to BLOCK_ELEMENTS is one block; a larger one is cut by a hash and every pair of
+    its blocks meets, so that no task gets more and no pair is left out.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    out = members.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col(weight) / BLOCK_ELEMENTS).cast("int"))).withColumn("own", own)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other", weight)
+
+
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
@@ -226,7 +258,21 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     runs = members.withColumn("opens", far.isNull() | (far * 100 < F.col("n") * percent))
     leader = F.last(F.when(F.col("opens"), F.col("node")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
     edges = runs.select(F.col("node").alias("a"), leader.alias("b")).where("a <> b")
-    candidates = connected_components(edges, "candidates").join(nodes.select("node", "n"), "node")
+    roots = connected_components(edges, "shared").join(nodes, "node").select("node", "root", "n", "prefix")
+    weights = roots.groupBy("root").agg(F.sum(F.size("prefix")).alias("weight"))
+
+    def refine(table: pa.Table) -> pa.Table:
+        """Links between sets that may be linked by their prefixes."""
+        ids, own, n = (table.column(c).to_pylist() for c in ("node", "own", "n"))
+        prefixes = [np.sort(np.asarray(x, np.int64)) for x in table.column("prefix").to_pylist()]
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        linked = lambda x, y, px, py: _may_link(prefixes[x], n[x], prefixes[y], n[y], percent)
+        links = _solve(ids, prefixes, n, linked, own, percent, cross)
+        return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    dealt = _in_blocks(roots.join(weights, "root"), "weight").select("root", "i", "j", "own", "node", "n", "prefix")
+    close = dealt.groupBy("root", "i", "j").applyInArrow(refine, "a long, b long")
+    candidates = connected_components(close, "candidates").join(nodes.select("node", "n"), "node")
     weights = candidates.groupBy("root").agg(F.sum("n").alias("weight"))
     candidates = cut(candidates.select("node", "root").join(weights, "root"), "candidates")
 
@@ -251,18 +297,16 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
                 yield pa.record_batch([block.column(0), pa.array(packed, pa.binary())], names=["node", "keys"])
 
     sets = hashed.mapInArrow(full_sets, "node long, keys binary").join(candidates, "node")
-    count = F.ceil(F.col("weight") / BLOCK_ELEMENTS).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    sets = sets.withColumn("parts", F.greatest(F.lit(1), count)).withColumn("own", own)
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "keys")
+    sets = _in_blocks(sets, "weight").select("root", "i", "j", "own", "node", "keys")
 
     def solve(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_pylist()
-        own = table.column("own").to_pylist()
+        ids, own = table.column("node").to_pylist(), table.column("own").to_pylist()
         members = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        sizes = [len(m) for m in members]
+        prefixes = [m[: prefix_length(len(m), percent)] for m in members]
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        links = _solve(list(range(len(ids))), ids, members, own, percent, cross)
+        linked = lambda x, y, px, py: _link(members[x], members[y], px, py, percent)
+        links = _solve(ids, prefixes, sizes, linked, own, percent, cross)
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     links = cut(sets.groupBy("root", "i", "j").applyInArrow(solve, "a long, b long"), "links")
