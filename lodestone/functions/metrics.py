@@ -78,15 +78,24 @@ def rouge_l(lcs: Column, hypothesis: Column, reference: Column) -> Column:
     return _ratio(2 * p * r, p + r)
 
 
+def _grams(words: Column, n: int) -> Column:
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
+def _clipped(h: Column, r: Column) -> Column:
+    """Grams of h that r has too, each counted as often as in both."""
+    same = lambda a, g: F.size(F.filter(a, lambda x: x == g))
+    return F.aggregate(F.array_distinct(h), F.lit(0), lambda s, g: s + F.least(same(h, g), same(r, g)))
+
+
 def bleu(hypothesis: Column, reference: Column, most: int = 4) -> Column:
     """Sentence BLEU with clipped counts and brevity penalty; 0 where some order has no match."""
     logs = F.lit(0.0)
     positive = F.lit(True)
     for n in range(1, most + 1):
-        grams = lambda w, n=n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        h, r = grams(hypothesis), grams(reference)
-        same = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-        hits = F.aggregate(F.array_distinct(h), F.lit(0), lambda s, g, h=h, r=r, same=same: s + F.least(same(h, g), same(r, g)))
+        h, r = _grams(hypothesis, n), _grams(reference, n)
+        hits = _clipped(h, r)
         positive = positive & (hits > 0)
         logs = logs + F.when(hits > 0, F.log(hits / F.size(h))).otherwise(0.0) / most
     brevity = F.when(F.size(hypothesis) > F.size(reference), 1.0).otherwise(F.exp(1 - F.size(reference) / F.greatest(F.size(hypothesis), F.lit(1))))
@@ -116,7 +125,7 @@ def ratios_by_label(labels: Column) -> Column:
     """hallucination, completeness and irrelevance of one label for each key point (unknown: irrelevant)."""
     n = F.size(labels)
     share = lambda c: _ratio(c, n)
-    wrong, good = (F.size(F.filter(labels, lambda x, v=v: x == v)) for v in ("Wrong", "Relevant"))
+    wrong, good = F.size(F.filter(labels, lambda x: x == "Wrong")), F.size(F.filter(labels, lambda x: x == "Relevant"))
     return F.struct(share(good).alias("completeness"), share(wrong).alias("hallucination"), share(n - wrong - good).alias("irrelevance"))
 
 

@@ -77,7 +77,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector of length one; one of length zero (or null) stays."""
-    return F.when(norm(v) > 1e-9, F.transform(v, lambda x: x.cast("double") / norm(v))).otherwise(as_double(v))
+    once = F.transform(F.array(v), lambda a: F.struct(a.alias("v"), norm(a).alias("n")))  # v and its norm are computed once
+    return F.transform(once, lambda s: F.when(s["n"] > 1e-9, F.transform(s["v"], lambda x: x.cast("double") / s["n"])).otherwise(as_double(s["v"])))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
