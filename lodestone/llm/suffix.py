@@ -69,8 +69,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 class SuffixIndex:
     """Levels of sorted suffix arrays as tables in the shared folder.
 
-    A level has a row for each (key, context): how many suffixes have it. matched holds keys that
-    were found in two places by the scans.
+    A level has a row for each (key, context): how many suffixes have it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -100,14 +99,12 @@ class SuffixIndex:
             level = cut(level.sortWithinPartitions("key", "context"), "level")
         self.levels.append((size, level))
 
-    def matches(self) -> DataFrame:
-        """(key, suffixes, contexts) of keys in two places or more, over all levels."""
+    def contexts(self) -> DataFrame:
+        """(key, context, n) over all levels."""
         rows = self.levels[0][1]
         for _, more in self.levels[1:]:
             rows = rows.unionByName(more)
-        if len(self.levels) > 1:
-            rows = rows.groupBy("key", "context").agg(F.sum("n").alias("n"))
-        return rows.groupBy("key").agg(F.sum("n").alias("suffixes"), F.count("*").alias("contexts")).where("suffixes > 1")
+        return rows.groupBy("key", "context").agg(F.sum("n").alias("n")) if len(self.levels) > 1 else rows
 
     def drop(self) -> None:
         for _, rows in self.levels:
@@ -130,51 +127,40 @@ def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """Repeated spans of the suffixes of some whole keys, from their contexts."""
-    key, context = table.column("key").to_numpy(), table.column("context").to_numpy()
-    did, mark = table.column("did").to_numpy(), table.column("mark").to_numpy()
-    lo, windows = table.column("lo").to_numpy(), table.column("windows").to_numpy()
-    order = np.lexsort((context, key))
-    k, c = key[order], context[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    group = np.cumsum(new) - 1  # number of each row's (key, context), by order
-    size = np.bincount(group)
-    full = order[size[group] > 1]
-    out = [(did[full], mark[full], lo[full], lo[full] + windows[full] - 1 + LENGTH)]
-    # one context with bytes for each group; groups alone under their key repeat nowhere
+    """Repeated spans of suffixes that are alone with their context, by the windows of whole keys.
+
+    One row for each (key, context): how many suffixes have it (n), the bytes, and one suffix's place.
+    """
+    key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     raw = table.column("bytes").combine_chunks()
-    bytes_of = raw.is_valid().to_numpy(zero_copy_only=False)[order]
-    carrier = np.full(len(size), -1)
-    carrier[group[bytes_of][::-1]] = order[bytes_of][::-1]
-    group_key = k[new]
-    _, inverse, count = np.unique(group_key, return_inverse=True, return_counts=True)
-    useful = np.flatnonzero((count[inverse] > 1) & (carrier >= 0))
-    if len(useful):
-        rows = carrier[useful]
-        picked = raw.take(pa.array(rows))
-        data = np.frombuffer(b"".join(picked.to_pylist()), np.uint8)
-        sizes = windows[rows] + LENGTH - 1
+    there = raw.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero((count[inverse] > 1) & there)
+    cols = [np.zeros(0, np.int64)] * 4
+    if len(rows):
+        did, mark, lo, windows = (table.column(c).to_numpy()[rows] for c in ("did", "mark", "lo", "windows"))
+        data = np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist()), np.uint8)
+        sizes = windows + LENGTH - 1
         base = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(rows)), windows[rows])
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(windows[rows]) - windows[rows], windows[rows])
+        owner = np.repeat(np.arange(len(rows)), windows)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = base[owner] + step
         hashes = slice_hashes(prefix_sums(BYTE_VALUES[data]), start, start + LENGTH)
         _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = times[back] > 1
-        single = size[useful][owner] == 1  # others are repeated as a whole already
-        hit = np.flatnonzero(twice & single)
+        hit = np.flatnonzero((times[back] > 1) & (n[rows][owner] == 1))
         if len(hit):
             cuts = np.ones(len(hit), bool)
             cuts[1:] = (owner[hit][1:] != owner[hit][:-1]) | (step[hit][1:] != step[hit][:-1] + 1)
             first = np.flatnonzero(cuts)
             last = np.append(first[1:], len(hit)) - 1
-            row = rows[owner[hit[first]]]
-            out.append((did[row], mark[row], lo[row] + step[hit[first]], lo[row] + step[hit[last]] + LENGTH))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+            row = owner[hit[first]]
+            cols = [did[row], mark[row], lo[row] + step[hit[first]], lo[row] + step[hit[last]] + LENGTH]
     return pa.table([pa.array(x, pa.int64()) for x in cols], names=["did", "mark", "start", "end"])
 
 
+SPANS = "did long, mark long, start long, end long"
+
+
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(did, mark, start, end) of byte spans covered by a LENGTH-byte string that starts elsewhere too."""
     spark = docs.sparkSession
@@ -182,40 +168,51 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index = SuffixIndex(spark)
     for i in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("did", "mark"), F.lit(batches)) == i))
-    found = cut(index.matches(), "matches")
+    contexts = index.contexts()
+    found = cut(contexts.groupBy("key").agg(F.sum("n").alias("suffixes"), F.count("*").alias("contexts")).where("contexts > 1"), "matches")
+    whole = cut(contexts.where("n > 1").select("key", "context"), "whole")
     index.drop()
-    total = found.agg(F.sum("suffixes"), F.max("contexts")).first()
-    spans = spark.createDataFrame([], "did long, mark long, start long, end long")
+    total = found.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.coalesce(F.max("contexts"), F.lit(0))).first()
+    send = spark.sparkContext.broadcast
+    full = send(_filter(whole.select(F.col("context").alias("key"))))
+
+    # suffixes whose context stands in two places: all their windows are repeated. A context with very
+    # many copies is a skewed side of an equality join, which Spark splits.
+    def repeated(batches):
+        for block in blocks(batches, 1 << 20):
+            data, at = text_bytes(block.column(2))
+            text, _, lo, hi, key, context, _ = sampled(data, at)
+            keep = np.flatnonzero(_has(full.value, context))
+            if len(keep):
+                text, lo, hi = text[keep], lo[keep], hi[keep]
+                did, mark = np.asarray(block.column(0))[text], np.asarray(block.column(1))[text]
+                start = lo - at[text]
+                yield pa.record_batch([pa.array(x) for x in (key[keep].view(np.int64), context[keep].view(np.int64), did, mark, start, start + (hi - lo) + LENGTH)], names=["key", "context", "did", "mark", "start", "end"])
+
+    spans = rows.mapInArrow(repeated, f"key long, context long, {SPANS}").join(whole, ["key", "context"], "left_semi").select("did", "mark", "start", "end")
     if not total[0]:
         return spans
-    several = _filter(found.where("contexts > 1"))
-    any_of = spark.sparkContext.broadcast(_filter(found))
-    mixed = spark.sparkContext.broadcast(several)
-    hot = spark.sparkContext.broadcast(_filter(found.where(f"contexts > {HOT_CONTEXTS}"))) if total[1] > HOT_CONTEXTS else None
-    drop_table(spark, found)
+    mixed = send(_filter(found))
+    hot = send(_filter(found.where(f"contexts > {HOT_CONTEXTS}"))) if total[1] > HOT_CONTEXTS else None
 
     def suffixes(batches):
-        """Suffixes whose key may be in two places; the first with a context in a task has its bytes."""
+        """Suffixes whose key may have several contexts; the first with a context in a task has its bytes."""
         sent: set[int] = set()
         for block in blocks(batches, 1 << 20):
             data, at = text_bytes(block.column(2))
             text, _, lo, hi, key, context, _ = sampled(data, at)
-            keep = _has(any_of.value, key)
+            keep = _has(mixed.value, key)
             if hot is not None:
                 keep &= ~_has(hot.value, key)
             keep = np.flatnonzero(keep)
             if not len(keep):
                 continue
             text, lo, hi, key, context = (x[keep] for x in (text, lo, hi, key, context))
-            mixed_key = _has(mixed.value, key).tolist()
             raw = data.tobytes()
             parts = []
-            for m, c, a, b in zip(mixed_key, context.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                if m and c not in sent:
-                    sent.add(c)
-                    parts.append(raw[a : b + LENGTH])
-                else:
-                    parts.append(None)
+            for c, a, b in zip(context.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                parts.append(None if c in sent else raw[a : b + LENGTH])
+                sent.add(c)
             if len(sent) > 500_000:
                 sent.clear()
             did, mark = np.asarray(block.column(0))[text], np.asarray(block.column(1))[text]
@@ -226,8 +223,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     schema = "key long, context long, did long, mark long, lo long, windows long, bytes binary"
     groups = max(1, -(-total[0] // GROUP_ROWS))
-    close = rows.mapInArrow(suffixes, schema).groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"))
-    spans = close.applyInArrow(_settle, "did long, mark long, start long, end long")
+    # copies of a context are counted before the shuffle, so a key's group has its contexts, not its copies
+    once = rows.mapInArrow(suffixes, schema).groupBy("key", "context").agg(F.count("*").alias("n"), F.first("did").alias("did"), F.first("mark").alias("mark"), F.first("lo").alias("lo"), F.first("windows").alias("windows"), F.first("bytes", True).alias("bytes"))
+    spans = spans.unionByName(once.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp")).applyInArrow(_settle, SPANS))
     if hot is not None:
 
         def single(batches):
