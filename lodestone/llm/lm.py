@@ -31,6 +31,7 @@ ROUNDS, SHARES, RATE, BATCH = 2, 16, 0.1, 256
 SENT_WORDS = 1 << 17
 FIRST = (0, 1, 17, 273)  # number of the first node of each step
 NODES = 4369
+_ONES = np.ones(16, np.float32)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -90,17 +91,21 @@ class Attention:
         given = np.where(cell == 0, END, padded[np.maximum(np.minimum(spot - 1, len(ids)), 0)])
         return np.where(real, given, END), np.where(real, target, END), text, scored
 
-    def attend(self, given: np.ndarray):
+    def attend(self, given: np.ndarray, last: int = CONTEXT):
+        """Contexts of the last cells of each window; also what the gradients need."""
         p = self.p
         e = p["embed"][given]
-        q, k, v = (e @ p[x] for x in ("query", "key", "value"))
-        lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
+        own = e[:, CONTEXT - last :]
+        q, k, v = own @ p["query"], e @ p["key"], e @ p["value"]
+        lag = np.arange(CONTEXT - last, CONTEXT)[:, None] - np.arange(CONTEXT)
         mask = np.where(lag >= 0, p["lag"][np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
-        w = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + mask
-        w -= w.max(2, keepdims=True)
+        w = q @ k.transpose(0, 2, 1)
+        w *= np.float32(WIDTH**-0.5)
+        w += mask
+        np.minimum(w, np.float32(60), out=w)  # in place of taking off the maximum
         np.exp(w, out=w)
-        w /= w.sum(2, keepdims=True)
-        return e, q, k, v, w, e + w @ v
+        w /= (w.reshape(-1, CONTEXT) @ _ONES).reshape(len(w), last, 1)
+        return e, q, k, v, w, own + w @ v
 
     def tree(self, h: np.ndarray, target: np.ndarray, grads: bool = False):
         """Log probability of each target given its context; with grads also those of h and out."""
@@ -115,21 +120,35 @@ class Attention:
             edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(y))
             nodes = FIRST[step] + prefix[edges[:-1]]
             z = self.bias[FIRST[step] + prefix]
-            for node, a, b in zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                z[a:b] += hs[a:b] @ self.p["out"][node].T
-            z -= z.max(1, keepdims=True)
+            few = len(nodes) * 8 > len(y)  # few rows a node: gather its weights for each row
+            if few:
+                weights = self.p["out"][FIRST[step] + prefix]
+                z += ((weights * hs[:, None, :]).reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(-1, 16)
+            else:
+                for node, a, b in zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    z[a:b] += hs[a:b] @ self.p["out"][node].T
+            np.minimum(z, np.float32(60), out=z)
+            total += z[rows, child]
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            total += np.log(z[rows, child] + np.float32(1e-30))
+            mass = z @ _ONES
+            total -= np.log(mass)
             if grads:
+                z /= mass[:, None]
                 z[rows, child] -= 1
                 touched.append(nodes)
-                for node, a, b in zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    douts.append(z[a:b].T @ hs[a:b])
+                if few:
+                    weights *= z[:, :, None]
+                    dh += weights.sum(1)
+                    douts.append(np.add.reduceat(z[:, :, None] * hs[:, None, :], edges[:-1], axis=0))
+                    continue
+                part = np.empty((len(nodes), 16, WIDTH), np.float32)
+                douts.append(part)
+                for i, (node, a, b) in enumerate(zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    part[i] = z[a:b].T @ hs[a:b]
                     dh[a:b] += z[a:b] @ self.p["out"][node]
         back = np.empty(len(y), np.int64)
         back[order] = rows
-        return total[back], (dh[back] if grads else None), ((np.concatenate(touched), np.stack(douts)) if grads else None)
+        return total[back], (dh[back] if grads else None), ((np.concatenate(touched), np.concatenate(douts)) if grads else None)
 
     def step(self, given: np.ndarray, target: np.ndarray, scored: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on a batch of windows."""
@@ -163,13 +182,15 @@ class Attention:
         """Natural log probability of each text with its end."""
         out = np.zeros(len(at) - 1)
         given, target, text, scored = self.windows(ids, at)
-        for i in range(0, len(given), 8192):
-            part = slice(i, i + 8192)
-            *_, h = self.attend(given[part])
-            s = scored[part]
-            log, _, _ = self.tree(h[s], target[part][s])
-            row = np.broadcast_to(text[part][:, None], s.shape)[s]
-            out += np.bincount(row, weights=log, minlength=len(out))
+        whole = scored[:, 0]  # a text's first window is scored from its start, others from their middle on
+        for rows, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)):
+            for i in range(0, len(rows), 16384):
+                part = rows[i : i + 16384]
+                h = self.attend(given[part], last)[-1]
+                s = scored[part][:, CONTEXT - last :]
+                log, _, _ = self.tree(h[s], target[part][:, CONTEXT - last :][s])
+                row = np.broadcast_to(text[part][:, None], s.shape)[s]
+                out += np.bincount(row, weights=log, minlength=len(out))
         return out
 
 
