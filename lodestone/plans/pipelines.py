@@ -22,9 +22,10 @@ def infer(queries: DataFrame, docs: DataFrame, embed=None, config: retrieve.Retr
     dense = score.dense_scores(queries.select("query_id", embed(F.col("text")).alias("q")), docs.select("doc_id", embed(F.col("text")).alias("v")))
     found = retrieve.hybrid_retrieve(queries, docs, dense, config).where(F.col("rank") <= cut)
     chunks = found.join(docs, "doc_id").withColumn("label", P.metadata_label(doc_id=F.col("doc_id")))
-    contexts = P.context_blocks(chunks, ["query_id"])
-    refs = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("r"))
-    out = typed.join(contexts, "query_id", "left").join(refs, "query_id", "left")
+    block = F.when(F.trim("text") != "", F.concat(F.lit("### Source "), F.col("rank").cast("string"), F.col("label"), F.lit("\n"), F.trim("text")))
+    # context and references come from one aggregate, so the ranking is computed once
+    refs = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text", block.alias("block")))).alias("r"))
+    out = typed.join(refs, "query_id", "left").withColumn("context", F.array_join(F.transform("r", lambda x: x["block"]), "\n\n"))
     answer = providers.extractive_answer(F.col("text"), F.coalesce("context", F.lit("")))
     return out.select(
         "query_id",
