@@ -6,6 +6,8 @@ comes from two prefix sums; `mix` spreads the bits afterwards.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import uuid
@@ -71,7 +73,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches, most: int = 8 << 20, column: str = "text"):
-    """Cut record batches so that each piece holds about `most` bytes of text (one row at least)."""
+    """Cut record batches so that each piece holds about `most` bytes of text (one row at least).
+
+    At the end the worker gives the memory it no longer needs back, as it may live on idle.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -82,6 +87,19 @@ def blocks(batches, most: int = 8 << 20, column: str = "text"):
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        del batch
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:

@@ -32,8 +32,9 @@ from .components import connected_components
 PERCENT, WORDS = 90, 3
 #: Slots of the frequency table, and chunks that it is summed in; bits of the filter on node ids.
 SLOTS, CHUNKS, FILTER_BITS = 1 << 18, 64, 1 << 23
-#: Set elements that one task compares at most, before a component is cut into blocks.
-BLOCK_ELEMENTS = 4_000_000
+#: Set elements that one task compares at most, before a component is cut into blocks; how many of
+#: them a prefix element, which is kept in a dictionary, counts for.
+BLOCK_ELEMENTS, PREFIX_WEIGHT = 3_000_000, 5
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
-        for block in blocks(batches, 1 << 20):
+        for block in blocks(batches, 1 << 19):
             hashes, _ = shingles(*text_bytes(block.column(0)), words)
             total += np.bincount(_slot(hashes[_counted(hashes)]), minlength=SLOTS).astype(np.uint32)
         if total.any():
@@ -140,13 +141,11 @@ def _need(nx: int, ny: int, percent: int) -> int:
     return -(-percent * (nx + ny) // (100 + percent))
 
 
-def _may_link(a: np.ndarray, nx: int, b: np.ndarray, ny: int, percent: int) -> bool:
-    """Whether sets with these prefixes may be linked: of the set whose prefix ends first all common
-    shingles that it can have are those in the prefixes and the rest of the set."""
-    if not len(a) or not len(b):
-        return False
-    rest = nx - len(a) if a[-1] <= b[-1] else ny - len(b)
-    return _common(a, b) + rest >= _need(nx, ny, percent)
+def _may_link(a: np.ndarray, last_a: int, rest_a: int, b: np.ndarray, last_b: int, rest_b: int, need: int) -> bool:
+    """Whether two sets may be linked, by the shared shingles of their prefixes, the prefixes' last
+    shingles and what follows them: of the set whose prefix ends first, all common shingles stand in
+    the prefixes or in the rest of the set."""
+    return _common(a, b) + (rest_a if last_a <= last_b else rest_b) >= need
 
 
 def _link(sx: np.ndarray, sy: np.ndarray, px: int, py: int, percent: int) -> bool:
@@ -168,6 +167,7 @@ def _solve(nodes, prefixes, sizes, linked, sides, percent: int, cross: bool):
 
     Members come in order of size. Postings of a shingle are kept by component, so that members
     which are connected already are passed over together; linked(x, y, px, py) is asked once a pair.
+    prefixes has (position, shingle) of the shingles that more than one member has.
     """
     root_of = list(range(len(nodes)))
 
@@ -180,9 +180,9 @@ def _solve(nodes, prefixes, sizes, linked, sides, percent: int, cross: bool):
     links = []
     postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
     for x in sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i])):
-        prefix = prefixes[x].tolist()
+        prefix = list(zip(*(a.tolist() for a in prefixes[x]), strict=True))
         roots: dict[int, None] = {}
-        for key in prefix:
+        for _, key in prefix:
             lists = postings.get(key)
             if lists:
                 for r in list(lists):
@@ -195,7 +195,7 @@ def _solve(nodes, prefixes, sizes, linked, sides, percent: int, cross: bool):
             if find(r) == mine:
                 continue
             asked = set()
-            for px, key in enumerate(prefix):
+            for px, key in prefix:
                 for y, py in reversed(postings.get(key, {}).get(r, ())):
                     if y in asked or cross and sides[x] == sides[y]:
                         continue
@@ -208,11 +208,25 @@ def _solve(nodes, prefixes, sizes, linked, sides, percent: int, cross: bool):
                     continue
                 break
         here = find(x)
-        for px, key in enumerate(prefix):
+        for px, key in prefix:
             postings.setdefault(key, {}).setdefault(here, []).append((x, px))
     return links
 
 
+def _shared(prefixes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and values of the shingles of each prefix that another prefix has too."""
+    if not prefixes:
+        return []
+    _, inverse, count = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    twice = count[inverse] > 1
+    out, at = [], 0
+    for p in prefixes:
+        spots = np.flatnonzero(twice[at : at + len(p)])
+        out.append((spots, p[spots]))
+        at += len(p)
+    return out
+
+
 def _in_blocks(members, weight: str):
     """Rows of candidate components (root, node, weight of the component, ...) dealt to pairs of blocks.
 
@@ -236,7 +250,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     table = spark.sparkContext.broadcast(frequency_table(docs, words))  # SLOTS bytes
 
     def describe(batches):
-        for block in blocks(batches, 1 << 20):
+        for block in blocks(batches, 1 << 19):
             hashes, at = shingles(*text_bytes(block.column(1)), words)
             keys = ordered_keys(hashes, table.value)
             signs, prefixes = [], []
@@ -255,22 +269,26 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     by_size = Window.partitionBy("key").orderBy("n", "node")
     members = nodes.select("node", "n", F.explode("prefix").alias("key"))
     far = F.lag("n").over(by_size)
-    runs = members.withColumn("opens", far.isNull() | (far * 100 < F.col("n") * percent))
+    runs = members.withColumn("opens", far.isNull() | (far * 100 < F.col("n") * percent)).withColumn("alone", far.isNull() & F.lead("n").over(by_size).isNull())
     leader = F.last(F.when(F.col("opens"), F.col("node")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    edges = runs.select(F.col("node").alias("a"), leader.alias("b")).where("a <> b")
-    roots = connected_components(edges, "shared").join(nodes, "node").select("node", "root", "n", "prefix")
-    weights = roots.groupBy("root").agg(F.sum(F.size("prefix")).alias("weight"))
+    # shingles that stand in one prefix alone can't join anything
+    runs = cut(runs.withColumn("leader", leader).where("not alone").select("node", "key", "leader"), "runs")
+    edges = runs.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b")
+    shared = runs.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("shared"))
+    about = nodes.select("node", "n", F.array_max("prefix").alias("last"), (F.col("n") - F.size("prefix")).alias("rest"))
+    roots = connected_components(edges, "shared").join(shared, "node").join(about, "node")
+    weights = roots.groupBy("root").agg((F.sum(F.size("shared")) * PREFIX_WEIGHT).alias("weight"))
 
     def refine(table: pa.Table) -> pa.Table:
         """Links between sets that may be linked by their prefixes."""
-        ids, own, n = (table.column(c).to_pylist() for c in ("node", "own", "n"))
-        prefixes = [np.sort(np.asarray(x, np.int64)) for x in table.column("prefix").to_pylist()]
+        ids, own, n, last, rest = (table.column(c).to_pylist() for c in ("node", "own", "n", "last", "rest"))
+        keys = [np.asarray(x.values) for x in table.column("shared").combine_chunks()]
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        linked = lambda x, y, px, py: _may_link(prefixes[x], n[x], prefixes[y], n[y], percent)
-        links = _solve(ids, prefixes, n, linked, own, percent, cross)
+        linked = lambda x, y, px, py: _may_link(keys[x], last[x], rest[x], keys[y], last[y], rest[y], _need(n[x], n[y], percent))
+        links = _solve(ids, _shared(keys), n, linked, own, percent, cross)
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    dealt = _in_blocks(roots.join(weights, "root"), "weight").select("root", "i", "j", "own", "node", "n", "prefix")
+    dealt = _in_blocks(roots.join(weights, "root"), "weight").select("root", "i", "j", "own", "node", "n", "last", "rest", "shared")
     close = dealt.groupBy("root", "i", "j").applyInArrow(refine, "a long, b long")
     candidates = connected_components(close, "candidates").join(nodes.select("node", "n"), "node")
     weights = candidates.groupBy("root").agg(F.sum("n").alias("weight"))
@@ -286,7 +304,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
 
     def full_sets(batches):
-        for block in blocks(batches, 1 << 20):
+        for block in blocks(batches, 1 << 19):
             bit = np.asarray(block.column(2))
             hit = (wanted.value[bit // 64] >> (bit % 64)) & 1
             block = block.filter(pa.array(hit.astype(bool)))
@@ -303,7 +321,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
         ids, own = table.column("node").to_pylist(), table.column("own").to_pylist()
         members = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
         sizes = [len(m) for m in members]
-        prefixes = [m[: prefix_length(len(m), percent)] for m in members]
+        prefixes = _shared([m[: prefix_length(len(m), percent)] for m in members])
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         linked = lambda x, y, px, py: _link(members[x], members[y], px, py, percent)
         links = _solve(ids, prefixes, sizes, linked, own, percent, cross)

@@ -80,7 +80,7 @@ class SuffixIndex:
         """Sort a batch of (did, mark, text), scan it against the levels, merge equal-sized levels."""
 
         def entries(batches):
-            for block in blocks(batches, 1 << 20):
+            for block in blocks(batches, 1 << 19):
                 _, _, _, _, key, context, _ = sampled(*text_bytes(block.column(0)))
                 if len(key):
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], names=["key", "context"])
@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # suffixes whose context stands in two places: all their windows are repeated. A context with very
     # many copies is a skewed side of an equality join, which Spark splits.
     def repeated(batches):
-        for block in blocks(batches, 1 << 20):
+        for block in blocks(batches, 1 << 19):
             data, at = text_bytes(block.column(2))
             text, _, lo, hi, key, context, _ = sampled(data, at)
             keep = np.flatnonzero(_has(full.value, context))
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     def suffixes(batches):
         """Suffixes whose key may have several contexts; the first with a context in a task has its bytes."""
         sent: set[int] = set()
-        for block in blocks(batches, 1 << 20):
+        for block in blocks(batches, 1 << 19):
             data, at = text_bytes(block.column(2))
             text, _, lo, hi, key, context, _ = sampled(data, at)
             keep = _has(mixed.value, key)
@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
         def single(batches):
             """Every window of the suffixes with a hot key, by the hash of its bytes."""
-            for block in blocks(batches, 1 << 20):
+            for block in blocks(batches, 1 << 19):
                 data, at = text_bytes(block.column(2))
                 text, _, lo, hi, key, _, sums = sampled(data, at)
                 keep = np.flatnonzero(_has(hot.value, key))
@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     width, names = len(docs.columns), [*docs.columns, *new[:5]]
 
     def apply(batches):
-        for block in blocks(batches, 8 << 20):
+        for block in blocks(batches, 2 << 20):
             data, at = text_bytes(block.column(spot))
             whole = data.tobytes()
             null = block.column(spot).is_null().to_pylist()

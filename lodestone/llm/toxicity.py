@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Ordina
     rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").select("text", "toxic")
 
     def extract(batches):
-        for block in blocks(batches, 2 << 20):
+        for block in blocks(batches, 1 << 19):
             data, at = text_bytes(block.column(0))
             hashes, text = features(data, at)
             order = np.lexsort((hashes, text))
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in blocks(batches, 2 << 20):
+        for block in blocks(batches, 1 << 19):
             data, at = text_bytes(block.column(spot))
             p = sent.value.at_least(sent.value.evidence(data, at))
             yield pa.record_batch([*block.columns, pa.array(p.sum(axis=1), pa.float64()), pa.array(p[:, 0] >= 0.5, pa.bool_())], names=[*block.schema.names, "severity", "toxic"])

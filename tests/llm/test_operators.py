@@ -246,12 +246,12 @@ def test_components(spark):
 
 
 def test_pii(spark):
-    text = "é mail a@b.c_d@e.f x@y. 1.2.3.4.5.6.7.8 999.1.1.1 4111 1111 1111 1111 4111111111111112 +49 (30) 123-4567 +1 2 iban DE89 3704 0044 0532 0130 00 end"
+    text = "é mail a@b.c_d@e.f x@y. 1.2.3.4.5.6.7.8 999.1.1.1 x 4111 1111 1111 1111 x 4111111111111112 x +49 (30) 123-4567 +1 2 iban DE89 3704 0044 0532 0130 00 end"
     rows = [(1, text), (2, None), (3, ""), (4, "a@b.c" * 2000), (5, "1" * 100_000), (5, "a" * 100_000)]
     found = pii.find(spark.createDataFrame(rows, DOCS).withColumn("pii", F.lit(1)))
     got = [r for r in found.collect() if r.doc_id == 1][0]
     spans = [(s.kind, text[s.start : s.end]) for s in got.pii]
-    assert spans == [("email", "a@b.c"), ("email", "_d@e.f"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 123-4567"), ("iban", "DE89 3704 0044 0532 0130 00")] or ("iban", "DE89 3704 0044 0532 0130 00") in spans
+    assert spans == [("email", "a@b.c"), ("email", "_d@e.f"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 123-4567"), ("iban", "DE89 3704 0044 0532 0130 00")]
     assert all(0 < s.score <= 1 for s in got.pii)
     d = {r.doc_id: r for r in pii.digest(found).where("doc_id in (2, 3)").collect()}
     assert d[2].base_sha256 == hashlib.sha256(b"").hexdigest() and d[3].spans == ""
