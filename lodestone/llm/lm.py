@@ -150,40 +150,60 @@ class Attention:
         back[order] = rows
         return total[back], (dh[back] if grads else None), ((np.concatenate(touched), np.concatenate(douts)) if grads else None)
 
+    def groups(self, scored: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Windows by how many of their last cells matter: a text's first window is scored from its
+        start, the others from their middle on."""
+        whole = scored[:, 0]
+        return [(rows, last) for rows, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)) if len(rows)]
+
     def step(self, given: np.ndarray, target: np.ndarray, scored: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on a batch of windows."""
-        p = self.p
-        e, q, k, v, w, h = self.attend(given)
-        n = max(1, int(scored.sum()))
-        _, ds, (nodes, dout) = self.tree(h[scored], target[scored], True)
-        dh = np.zeros_like(h)
-        dh[scored] = ds
-        dw = dh @ v.transpose(0, 2, 1)
-        dv = w.transpose(0, 2, 1) @ dh
-        dz = w * (dw - (dw * w).sum(2, keepdims=True))
-        lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
-        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dz.sum(0), 0).ravel(), minlength=CONTEXT)
-        scale = np.float32(WIDTH**-0.5)
-        dq, dk = dz @ k * scale, dz.transpose(0, 2, 1) @ q * scale
-        de = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
-        flat = e.reshape(-1, WIDTH)
-        grads = {x: flat.T @ d.reshape(-1, WIDTH) for x, d in (("query", dq), ("key", dk), ("value", dv))}
-        seen, back = np.unique(given.ravel(), return_inverse=True)
-        dembed = np.zeros((len(seen), WIDTH), np.float32)
-        np.add.at(dembed, back, de.reshape(-1, WIDTH))
-        rows = {"embed": seen, "out": nodes}  # only the rows that the batch touched change
+        p, scale = self.p, np.float32(WIDTH**-0.5)
+        parts = [(rows, last, scored[rows][:, CONTEXT - last :], *self.attend(given[rows], last)) for rows, last in self.groups(scored)]
+        targets = np.concatenate([target[rows][:, CONTEXT - last :][s] for rows, last, s, *_ in parts])
+        n = max(1, len(targets))
+        _, ds, (nodes, dout) = self.tree(np.concatenate([x[-1][x[2]] for x in parts]), targets, True)
+        grads = {x: np.zeros((WIDTH, WIDTH), np.float32) for x in ("query", "key", "value")}
+        dlag, at, cells, changes = np.zeros(CONTEXT), 0, [], []
+        for rows, last, s, e, q, k, v, w, h in parts:
+            dh = np.zeros_like(h)
+            size = int(s.sum())
+            dh[s] = ds[at : at + size]
+            at += size
+            dw = dh @ v.transpose(0, 2, 1)
+            dv = w.transpose(0, 2, 1) @ dh
+            mean = ((dw * w).reshape(-1, CONTEXT) @ _ONES).reshape(len(w), last, 1)
+            dz = w * (dw - mean)
+            lag = np.arange(CONTEXT - last, CONTEXT)[:, None] - np.arange(CONTEXT)
+            dlag += np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dz.sum(0), 0).ravel(), minlength=CONTEXT)
+            dz *= scale
+            dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
+            own = e[:, CONTEXT - last :].reshape(-1, WIDTH)
+            flat = e.reshape(-1, WIDTH)
+            grads["query"] += own.T @ dq.reshape(-1, WIDTH)
+            grads["key"] += flat.T @ dk.reshape(-1, WIDTH)
+            grads["value"] += flat.T @ dv.reshape(-1, WIDTH)
+            de = dk @ p["key"].T + dv @ p["value"].T
+            de[:, CONTEXT - last :] += dh + dq @ p["query"].T
+            cells.append(given[rows].ravel())
+            changes.append(de.reshape(-1, WIDTH))
+        order = np.argsort(ids := np.concatenate(cells), kind="stable")
+        ids = ids[order]
+        edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        dembed = np.add.reduceat(np.concatenate(changes)[order], edges, axis=0)
+        touched = {"embed": ids[edges], "out": nodes}  # only the rows that the batch touched change
         for x, g in (grads | {"embed": dembed, "out": dout, "lag": dlag.astype(np.float32)}).items():
-            at = rows.get(x, slice(None))
+            spot = touched.get(x, slice(None))
             g = g / np.float32(n**0.5)
-            memory[x][at] += g * g
-            p[x][at] -= np.float32(RATE) * g / (np.sqrt(memory[x][at]) + np.float32(1e-3))
+            seen = memory[x][spot] + g * g
+            memory[x][spot] = seen
+            p[x][spot] -= np.float32(RATE) * g / (np.sqrt(seen) + np.float32(1e-3))
 
     def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each text with its end."""
         out = np.zeros(len(at) - 1)
         given, target, text, scored = self.windows(ids, at)
-        whole = scored[:, 0]  # a text's first window is scored from its start, others from their middle on
-        for rows, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)):
+        for rows, last in self.groups(scored):
             for i in range(0, len(rows), 16384):
                 part = rows[i : i + 16384]
                 h = self.attend(given[part], last)[-1]
