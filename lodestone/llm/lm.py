@@ -3,8 +3,8 @@
 Model: an embedding of each id, one head of causal self-attention with a learned bias for each lag
 and a residual, and a tree over the 16 bits of the next id, four steps of 16 ways, each a softmax
 of a unigram bias and a node's weights times the context. The biases are counts of ids over all
-training texts; the rest is trained on a fixed share of the training texts, which grows with the
-corpus: each task descends on its part from the common start and the changes are averaged.
+training texts; the rest is trained on every training text once, in rounds of a share each: each
+task descends on its part from the round's common start and the changes are averaged.
 
 Scoring: texts are cut into overlapping windows of CONTEXT ids, STRIDE apart; each id is scored
 once, in the window where it has the longest context, with batched masked attention. The base
@@ -25,8 +25,8 @@ from .arrays import BYTE_VALUES, blocks, cut, prefix_sums, slice_hashes, text_by
 from .bpe import BLOCK, loaded
 
 CONTEXT, STRIDE, WIDTH, END, VOCABULARY = 16, 8, 16, 50256, 50257
-#: Rounds of training; each takes one of SHARES shares of the training texts, by the crc32 of the id.
-ROUNDS, SHARES, RATE, BATCH = 2, 16, 0.1, 256
+#: Rounds of training; each takes another share of the training texts, by the crc32 of the id.
+ROUNDS, RATE, BATCH = 16, 0.1, 256
 #: Most words whose counts are sent to all executors; others are joined by a shuffle.
 SENT_WORDS = 1 << 17
 FIRST = (0, 1, 17, 273)  # number of the first node of each step
@@ -38,10 +38,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def share(doc_id: int | None) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // 7 % SHARES
-
-
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of each word, A-Z lower-cased."""
     if not len(data):
@@ -214,22 +210,23 @@ class Attention:
         return out
 
 
-def _train(model: Attention, docs: DataFrame, ranks_path: str, round_: int) -> None:
-    """One round: every task descends on its texts of this round's share; the changes are averaged
-    by the ids seen. The sums are made in chunks of rows, so no task holds two models' worth."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _training_texts(docs: DataFrame) -> DataFrame:
+    """Every text that is not held out, with its round, as a table that each round reads its part of."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    dealt = docs.where(crc % 7 != 2).select("doc_id", "text", F.floor(crc / 7 % ROUNDS).cast("int").alias("round"))
+    # a round has fewer, larger parts: each has about as many texts as a scan task has of the whole
+    parts = max(1, docs.rdd.getNumPartitions() // 4)
+    return cut(dealt.repartition(ROUNDS * parts, "round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))), "training", "round")
+
+
+def _train(model: Attention, texts: DataFrame, ranks_path: str) -> None:
+    """One round: every task descends on its texts; the changes are averaged by the ids seen. The
+    sums are made in chunks of rows, so no task holds two models' worth."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
     names = ("embed", "query", "key", "value", "lag", "out")
     size = sum(model.p[x].size for x in names)
     chunk = 1 << 16
 
-    def chosen(batches):
-        """Texts of the share, dealt by their bytes over as many tasks as have enough of them."""
-        for block in blocks(batches, 4 << 20):
-            ids = block.column(0).to_pylist()
-            pick = [i for i, d in enumerate(ids) if not held_out(d) and share(d) == round_]
-            if pick:
-                yield block.take(pa.array(pick, pa.int64()))
-
     def descend(batches):
         pairs = loaded(ranks_path)
         m = Attention(np.zeros(VOCABULARY))
@@ -259,11 +256,8 @@ def _train(model: Attention, docs: DataFrame, ranks_path: str, round_: int) -> N
         yield pa.record_batch([pa.array([number], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "seen", "change"])
 
     schema = "chunk int, seen long, change binary"
-    share_of = docs.mapInArrow(chosen, "doc_id long, text string")
-    # fewer, larger parts: each has about as many texts as a scan task has of the whole
-    parts = max(1, docs.rdd.getNumPartitions() // 4)
-    texts = share_of.repartition(parts, F.xxhash64("doc_id", "text"))
-    rows = texts.mapInArrow(descend, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    rows = texts.select("doc_id", "text").mapInArrow(descend, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    sent.unpersist()
     if not rows:
         return
     change = np.concatenate([np.frombuffer(bytes(r["change"]), np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
@@ -336,8 +330,9 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
     order = np.argsort(keys)
 
     model = Attention(ids)
+    training = _training_texts(docs)
     for round_ in range(ROUNDS):
-        _train(model, docs, ranks_path, round_)
+        _train(model, training.where(F.col("round") == round_), ranks_path)
     sent = spark.sparkContext.broadcast((model, keys[order], np.log10(n[order] + 1.0)))
     end_score = float(np.log10(texts + 1.0))
 

@@ -312,6 +312,27 @@ def test_lm_windows_and_gradient():
     assert 0.99 < np.exp(logs.astype(float)).sum() <= 1.001
 
 
+def test_lm_trains_on_every_training_text(spark):
+    pairs = bpe.loaded(RANKS)
+    firsts = {}  # texts of one id that no other text has
+    for i in range(300, 50_000):
+        word = pairs.decode(np.array([i]), np.array([0, 1]))[0].tobytes()
+        if word.isalpha() and word.isascii() and len(pairs.encode(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0]) == 1:
+            firsts[i] = word.decode()
+        if len(firsts) == 200:
+            break
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(firsts.values())], DOCS)
+    training = lm._training_texts(docs)
+    assert sorted(r.doc_id for r in training.collect()) == [d for d in range(200) if not lm.held_out(d)]
+    model = lm.Attention(np.ones(lm.VOCABULARY))
+    model.p["out"] += np.random.default_rng(9).standard_normal(model.p["out"].shape).astype(np.float32) / 10  # at 0 nothing reaches the embeddings
+    start = model.p["embed"].copy()
+    for i in range(lm.ROUNDS):
+        lm._train(model, training.where(F.col("round") == i), RANKS)
+    moved = (model.p["embed"] != start).any(1)
+    assert [bool(moved[i]) for i in firsts] == [not lm.held_out(d) for d in range(200)]
+
+
 # 10
 
 
