@@ -2,7 +2,9 @@
 
 Rolling hashes of K code points; of every WINDOW neighbouring hashes the smallest is chosen, the
 rightmost where equal; positions are kept. So any passage of K + WINDOW - 1 code points that two
-texts share leaves a common hash in both, and the positions tell where it stands.
+texts share leaves a common hash in both, and the positions tell where it stands. A text of fewer
+than SHORT code points keeps every gram, as a few chosen ones say little of it; two texts of which
+one is that short are compared by all grams of both.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, mix, partitions, powers, prefix_sums
 
-K, WINDOW = 20, 81
+K, WINDOW, SHORT = 20, 81, 200
 #: Bytes of text fingerprinted at once; arrays take about 100 times as much memory.
 BLOCK = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, 40-bit hash, position) of each chosen k-gram, in order. A text of fewer than
-    `window` k-grams has one window; one shorter than k is one gram; an empty one has none."""
+def winnow(texts: list[str], k: int = K, window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, 40-bit hash, position) of each chosen k-gram, in order: all of a text of fewer
+    than `short` code points. A longer text of fewer than `window` k-grams has one window; one
+    shorter than k is one gram; an empty one has none."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -49,7 +52,7 @@ def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarr
         low = _slide(grams, window)
         # full windows lie within one text
         inside = np.zeros(len(low) + 1, np.int64)
-        many = np.flatnonzero(count >= window)
+        many = np.flatnonzero((count >= window) & (sizes >= short))
         np.add.at(inside, starts[many], 1)
         np.add.at(inside, starts[many] + count[many] - window + 1, -1)
         low = low[np.cumsum(inside[:-1]) > 0]
@@ -57,13 +60,17 @@ def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarr
             keep = np.ones(len(low), bool)
             keep[1:] = low[1:] != low[:-1]
             chosen.append(low[keep])
-    few = np.flatnonzero((count >= 1) & (count < window))
+    whole = np.flatnonzero((count >= 1) & (sizes < short))
+    if len(whole):
+        owner = np.repeat(whole, count[whole])
+        chosen.append(grams[starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count[whole]) - count[whole], count[whole])])
+    few = np.flatnonzero((count >= 1) & (count < window) & (sizes >= short))
     if len(few):
         chosen.append(np.array([grams[a : a + c].min() for a, c in zip(starts[few].tolist(), count[few].tolist(), strict=True)], np.uint64))
     tiny = np.flatnonzero((sizes >= 1) & (count < 1))
     if len(tiny):
-        whole = mix((sums[ends[tiny]] - sums[starts[tiny]]) * powers(n + 1, inverse=True)[starts[tiny]])
-        chosen.append(((whole >> np.uint64(24)) << np.uint64(24)) | (_LOW - starts[tiny].astype(np.uint64)))
+        one = mix((sums[ends[tiny]] - sums[starts[tiny]]) * powers(n + 1, inverse=True)[starts[tiny]])
+        chosen.append(((one >> np.uint64(24)) << np.uint64(24)) | (_LOW - starts[tiny].astype(np.uint64)))
     all_of = np.concatenate(chosen)
     at = (_LOW - (all_of & _LOW)).astype(np.int64)
     order = np.argsort(at, kind="stable")
@@ -97,6 +104,21 @@ def likeness(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union == 0, 1.0, common / np.maximum(union, 1))
 
 
+def _codes(chosen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.unique((chosen[0].astype(np.uint64) << np.uint64(40)) | chosen[1])
+
+
+def _compared(texts: list[str], others: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness by row from the codes a and b, but by all grams of both where one text is short."""
+    out = likeness(len(texts), a, b)
+    # two long texts or two short ones were chosen from alike
+    rows = [i for i, (t, o) in enumerate(zip(texts, others, strict=True)) if (len(t) < SHORT) != (len(o) < SHORT)]
+    for i in rows:
+        every = max(len(texts[i]), len(others[i])) + 1
+        out[i] = likeness(1, *(_codes(winnow([x], short=every)) for x in (texts[i], others[i])))[0]
+    return out
+
+
 def _edit(text: str, following: str) -> str:
     n = len(text)
     return text[: n - n // 2] + following[: n // 2]
@@ -112,8 +134,7 @@ def _rows(ids: list, texts: list[str], last: str) -> pa.RecordBatch:
     edited = [_edit(t, f) for t, f in zip(texts, following, strict=True)]
     own = winnow([*texts, last])
     new = winnow(edited)
-    codes = lambda x: np.unique((x[0].astype(np.uint64) << np.uint64(40)) | x[1])
-    a, e = codes(own), codes(new)
+    a, e = _codes(own), _codes(new)
     shifted = a[(a >> np.uint64(40)) > 0] - (np.uint64(1) << np.uint64(40))
     mine = a[(a >> np.uint64(40)) < n]
     return pa.record_batch(
@@ -123,8 +144,8 @@ def _rows(ids: list, texts: list[str], last: str) -> pa.RecordBatch:
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
             pa.array(fingerprints(n + 1, *own)[:n]),
             pa.array(fingerprints(n, *new)),
-            pa.array(likeness(n, mine, e)),
-            pa.array(likeness(n, mine, shifted)),
+            pa.array(_compared(texts, edited, mine, e)),
+            pa.array(_compared(texts, following, mine, shifted)),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )

@@ -99,6 +99,23 @@ def test_winnow_guarantee_and_ties():
     assert same.min() == winnow.WINDOW - 1 and same.max() == 200 - winnow.K
 
 
+def test_winnow_short_texts():
+    rng = random.Random(9)
+    w = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    texts = [w(n) for n in (*range(20, 200, 3), 199, 1000, 150, 300, 40, 201, 900, 5, 260)]
+    texts += [texts[-1][:120], texts[-1]]
+    grams = lambda t: {t[i : i + winnow.K] for i in range(max(1, len(t) - winnow.K + 1))}
+    like = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    got = winnow._rows(list(range(len(texts) - 1)), texts[:-1], texts[-1]).to_pylist()
+    for r, t, o in zip(got, texts[:-1], texts[1:], strict=True):
+        e = winnow._edit(t, o)
+        if min(len(t), len(e)) < winnow.SHORT:
+            assert r["near_edited"] == pytest.approx(like(t, e))
+        if min(len(t), len(o)) < winnow.SHORT:
+            assert r["near_next"] == pytest.approx(like(t, o))
+    assert [len(r["fingerprint"]) // 18 for r in got if 20 <= r["n_chars"] < winnow.SHORT] == [len(t) - 19 for t in texts[:-1] if 20 <= len(t) < winnow.SHORT]
+
+
 def test_winnow_neighbours(spark, sf):
     rows = rows_of(sf, "documents", "doc_id, text")
     got = {r.doc_id: r for r in winnow.winnow_neighbours(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
