@@ -20,6 +20,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Windows whose minima are taken at once, by places of 24 bits.
+PIECE = 1 << 23
+_LOW = np.uint64((1 << 24) - 1)
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -115,6 +119,20 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def smallest_places(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest hash (by its upper 40 bits; rightmost, if equal) of each w neighbours.
+
+    Hash and place within a piece share 64 bits; pieces overlap, so the input may be of any length.
+    """
+    n = max(0, len(hashes) - w + 1)
+    out = np.empty(n, np.int64)
+    for start in range(0, n, PIECE):
+        part = hashes[start : min(start + PIECE, n) + w - 1]
+        low = sliding_minimum(((part >> np.uint64(24)) << np.uint64(24)) | (_LOW - np.arange(len(part), dtype=np.uint64)), w)
+        out[start : start + len(low)] = (_LOW - (low & _LOW)).astype(np.int64) + start
+    return out
+
+
 def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, blocks, cut, drop_table, mix, prefix_sums, slice_hashes, sliding_minimum, text_bytes
+from .arrays import BYTE_VALUES, blocks, cut, drop_table, mix, prefix_sums, slice_hashes, smallest_places, text_bytes
 
 LENGTH, K = 200, 32
 #: Batches that one load is cut into; bits of the filters on prefixes (fixed size, whatever the input).
 BATCHES, FILTER_BITS = 2, 1 << 26
 #: Rows of a settling group on average; contexts of one prefix beyond which its windows are shuffled singly.
 GROUP_ROWS, HOT_CONTEXTS = 20_000, 20_000
-_LOW = np.uint64((1 << 24) - 1)
 
 
 def sampled(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K):
@@ -41,8 +40,7 @@ def sampled(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K):
     sums = prefix_sums(BYTE_VALUES[data])
     place = np.arange(n - k + 1)
     grams = slice_hashes(sums, place, place + k)
-    low = sliding_minimum(((grams >> np.uint64(24)) << np.uint64(24)) | (_LOW - place.astype(np.uint64)), length - k + 1)
-    anchor = (_LOW - (low & _LOW)).astype(np.int64)
+    anchor = smallest_places(grams, length - k + 1)
     starts = np.arange(len(anchor))
     # windows that stay within one text
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(anchor)]

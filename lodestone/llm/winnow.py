@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, mix, partitions, powers, prefix_sums
+from .arrays import blocks, mix, partitions, powers, prefix_sums, smallest_places
 
 K, WINDOW, SHORT = 20, 81, 200
 #: Bytes of text fingerprinted at once; arrays take about 100 times as much memory.
 BLOCK = 1 << 19
-_LOW = np.uint64((1 << 24) - 1)
 
 
 def winnow(texts: list[str], k: int = K, window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,51 +37,36 @@ def winnow(texts: list[str], k: int = K, window: int = WINDOW, short: int = SHOR
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sums = prefix_sums(mix(points.astype(np.uint64) + np.uint64(0x51ED270B)))
     n = len(points)
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
-    grams = np.full(n, worst, np.uint64)
+    grams = np.zeros(n, np.uint64)
     if n >= k:
-        rolled = mix((sums[k:] - sums[:-k]) * powers(n + 1, inverse=True)[: n - k + 1])
-        grams[: n - k + 1] = ((rolled >> np.uint64(24)) << np.uint64(24)) | (_LOW - np.arange(n - k + 1, dtype=np.uint64))
-    # grams that would cross into the next text do not count
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        grams[max(a, b - k + 1) : b] = worst
+        grams[: n - k + 1] = mix((sums[k:] - sums[:-k]) * powers(n + 1, inverse=True)[: n - k + 1])
     chosen = []
     count = sizes - k + 1
-    if n >= window:
-        low = _slide(grams, window)
-        # full windows lie within one text
+    many = np.flatnonzero((count >= window) & (sizes >= short))
+    if len(many):
+        low = smallest_places(grams, window)
+        # only the windows of grams that lie within one text
         inside = np.zeros(len(low) + 1, np.int64)
-        many = np.flatnonzero((count >= window) & (sizes >= short))
         np.add.at(inside, starts[many], 1)
         np.add.at(inside, starts[many] + count[many] - window + 1, -1)
         low = low[np.cumsum(inside[:-1]) > 0]
-        if len(low):
-            keep = np.ones(len(low), bool)
-            keep[1:] = low[1:] != low[:-1]
-            chosen.append(low[keep])
+        keep = np.ones(len(low), bool)
+        keep[1:] = low[1:] != low[:-1]
+        chosen.append(low[keep])
     whole = np.flatnonzero((count >= 1) & (sizes < short))
     if len(whole):
         owner = np.repeat(whole, count[whole])
-        chosen.append(grams[starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count[whole]) - count[whole], count[whole])])
+        chosen.append(starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count[whole]) - count[whole], count[whole]))
     few = np.flatnonzero((count >= 1) & (count < window) & (sizes >= short))
     if len(few):
-        chosen.append(np.array([grams[a : a + c].min() for a, c in zip(starts[few].tolist(), count[few].tolist(), strict=True)], np.uint64))
+        chosen.append(np.array([a + smallest_places(grams[a : a + c], c)[0] for a, c in zip(starts[few].tolist(), count[few].tolist(), strict=True)], np.int64))
     tiny = np.flatnonzero((sizes >= 1) & (count < 1))
     if len(tiny):
-        one = mix((sums[ends[tiny]] - sums[starts[tiny]]) * powers(n + 1, inverse=True)[starts[tiny]])
-        chosen.append(((one >> np.uint64(24)) << np.uint64(24)) | (_LOW - starts[tiny].astype(np.uint64)))
-    all_of = np.concatenate(chosen)
-    at = (_LOW - (all_of & _LOW)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    at, value = at[order], all_of[order] >> np.uint64(24)
+        grams[starts[tiny]] = mix((sums[ends[tiny]] - sums[starts[tiny]]) * powers(n + 1, inverse=True)[starts[tiny]])
+        chosen.append(starts[tiny])
+    at = np.sort(np.concatenate(chosen))
     text = np.searchsorted(ends, at, side="right")
-    return text, value, at - starts[text]
-
-
-def _slide(x: np.ndarray, w: int) -> np.ndarray:
-    from .arrays import sliding_minimum
-
-    return sliding_minimum(x, w)
+    return text, grams[at] >> np.uint64(24), at - starts[text]
 
 
 def fingerprints(n: int, text: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[str]:

@@ -85,6 +85,19 @@ def test_suffix(spark, monkeypatch, hot):
     assert suffix.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_past_16_mib():
+    rng = random.Random(10)
+    w = lambda n: bytes(rng.choices(b"abcd ", k=n))
+    passage = w(300)
+    data = np.frombuffer(w(1000) * ((1 << 24) // 1000 + 1) + passage + w(500), np.uint8)
+    _, anchor, lo, hi, key, _, _ = suffix.sampled(data, np.array([0, len(data)]))
+    assert ((lo <= anchor) & (anchor <= hi + suffix.LENGTH - suffix.K)).all()
+    alone = np.frombuffer(passage, np.uint8)
+    _, there, _, _, want, _, _ = suffix.sampled(alone, np.array([0, len(alone)]))
+    place = len(data) - 800
+    assert {(a - place, k) for a, k in zip(anchor.tolist(), key.tolist(), strict=True)} >= set(zip(there.tolist(), want.tolist(), strict=True))
+
+
 # 3
 
 
@@ -99,6 +112,18 @@ def test_winnow_guarantee_and_ties():
     assert same.min() == winnow.WINDOW - 1 and same.max() == 200 - winnow.K
 
 
+def test_winnow_past_2_to_24():
+    rng = random.Random(11)
+    w = lambda n: "".join(rng.choices("abcd ", k=n))
+    long, other, last = w(1000) * ((1 << 24) // 1000 + 1), w(900), w(90)
+    text, value, at = winnow.winnow([long + other, other, last])
+    for i, x in ((1, other), (2, last)):  # what stands after place 2^24 of the batch
+        _, want, places = winnow.winnow([x])
+        assert value[text == i].tolist() == want.tolist() and at[text == i].tolist() == places.tolist()
+    tail = (text == 0) & (at >= len(long))
+    assert set(winnow.winnow([other])[1]) <= set(value[tail])
+
+
 def test_winnow_short_texts():
     rng = random.Random(9)
     w = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
