@@ -6,7 +6,7 @@ written as Parquet and read again. All stages but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, packing, pii, suffix, tokens, toxicity
@@ -28,12 +28,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, similarity 0.8 or more): the
-    smallest doc_id. Of rows that repeat an id the first by text stays; rows without id all stay."""
-    found = jaccard.components(docs, percent=80, words=5)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return _columns(known.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS)))
+    smallest doc_id, then by the text's hash. Rows are compared by their own texts, so rows that
+    repeat an id with another text are judged apart; of rows of equal id and text one stays, and
+    rows without id all stay."""
+    known = cut(docs.where("doc_id is not null").select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.components(known.select(F.col("_row").alias("doc_id"), "text"), percent=80, words=5)
+    about = known.select("_row", "doc_id", F.xxhash64("text").alias("hash"), "source", "lang").join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    # texts without words are linked with nothing, but equal rows are one
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")).alias("a"), F.when(empty, F.col("doc_id")).alias("b"), F.when(empty, F.col("hash")).alias("c")]
+    kept = about.groupBy(*group).agg(F.min(F.struct("doc_id", "hash", "source", "lang", "_row")).alias("first")).select("first._row")
+    return _columns(known.join(kept, "_row", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,11 @@ def test_near_duplicates_keep_one(spark, sf):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
     assert sorted((str(r.doc_id) for r in got.collect())) == ["1", "4", "5", "None", "None"]
+
+
+def test_near_duplicates_of_reused_ids(spark, sf):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    rows = [(1, text), (2, text + " x"), (2, other), (3, other + " y"), (4, None), (4, None), (4, " "), (5, text), (5, "a b c d e f")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (2, other), (4, None), (4, " "), (5, "a b c d e f")], key=str)
