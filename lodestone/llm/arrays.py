@@ -1,7 +1,9 @@
 """Shared helpers: Arrow text as one byte array, rolling hashes, scratch tables and small aggregates.
 
-All hashes are polynomial sums modulo 2**64 over a fixed random table, so the hash of any slice
-comes from two prefix sums; `mix` spreads the bits afterwards.
+Slice hashes are polynomial sums modulo 2**64 over a fixed random table, so the hash of any slice
+comes from two prefix sums; `mix` spreads the bits afterwards. Such sums have known collisions from
+1,024 letters on, so slices of any length are told apart by slice_keys(), which hashes the bytes of
+long ones with blake2b.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Slices of more bytes are hashed by blake2b.
+LONG = 64
 #: Windows whose minima are taken at once, by places of 24 bits.
 PIECE = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
@@ -51,6 +55,34 @@ def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start])
 
 
+def slice_keys(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of slices of any length: slice_hashes() of short ones, blake2b of long ones."""
+    keys = slice_hashes(sums, start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return keys
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with A-Z lower-cased, and start, end and text number of each word (a run without white space)."""
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    if not len(low):
+        return low, *[np.zeros(0, np.int64)] * 3
+    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    edge = np.zeros(len(low) + 1, bool)
+    edge[at] = True
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1] | edge[1:-1]
+    end[:-1] &= ~word[1:] | edge[1:-1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return low, first, last, np.searchsorted(at, first, side="right") - 1
+
+
+def word_hashes(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit key of each word."""
+    return slice_keys(low, prefix_sums(BYTE_VALUES[low]), first, last) if len(first) else np.zeros(0, np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -140,12 +172,14 @@ def hex_digest(data: bytes) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for tables between steps: under spark.checkpoint.dir, which executors share.
 
-    Only where the session names none (as in tests on one machine) a folder below /tmp is set.
+    Only on one machine, and only where the session names no such folder (as in tests), one below
+    /tmp is taken; a cluster's executors could not read it, so there it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and (set_dir := spark.sparkContext.getCheckpointDir()):
-        root = set_dir
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file:///tmp/lodestone-{os.getuid()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -156,15 +190,20 @@ def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     `by` names a column whose values get folders of their own, so a filter on it reads no others.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path, partitionBy=by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by cut() once nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop_table(*tables: DataFrame | None) -> None:
+    """Delete tables made by cut() once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("scratch_path")
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

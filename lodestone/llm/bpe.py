@@ -5,7 +5,7 @@ the root holds the smallest rank, leftmost position first. A merge changes three
 pair, its left neighbour, the position that dies), each a logarithmic point update, so a match of
 n bytes costs O(n log n) whatever its content. Matches of up to 256 bytes are encoded many at a
 time, one tree per row of an array; longer ones one by one. Each distinct match of a block of
-texts (told apart by a 64-bit hash) is encoded once.
+texts (told apart by a 64-bit hash, of the bytes themselves where they are many) is encoded once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .arrays import BYTE_VALUES, blocks, hex_digest, prefix_sums, slice_hashes, text_bytes
+from .arrays import BYTE_VALUES, blocks, hex_digest, prefix_sums, slice_keys, text_bytes
 
 _NONE = np.int64(1) << np.int64(50)
 _BATCHED = 256
@@ -193,7 +193,7 @@ class BytePairs:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         end = np.append(start[1:], len(data))
-        key = slice_hashes(prefix_sums(BYTE_VALUES[data]), start, end)
+        key = slice_keys(data, prefix_sums(BYTE_VALUES[data]), start, end)
         seen, index, inverse = np.unique(key, return_index=True, return_inverse=True)
         ids_where, ids_count = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
         slot = np.searchsorted(self.known, seen)

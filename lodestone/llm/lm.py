@@ -1,10 +1,14 @@
 """Language-model scoring: causal self-attention over subword ids, trained here in numpy.
 
-Model: an embedding of each id, one head of causal self-attention with a learned bias for each lag
-and a residual, and a tree over the 16 bits of the next id, four steps of 16 ways, each a softmax
-of a unigram bias and a node's weights times the context. The biases are counts of ids over all
-training texts; the rest is trained on every training text once, in rounds of a share each: each
-task descends on its part from the round's common start and the changes are averaged.
+Model: an embedding of each id and of each pair of neighbouring ids (by a hash), one head of causal
+self-attention with a learned bias for each lag and a residual, and two softmaxes: over classes of
+ids of like frequency, and over the ids of a class. Their biases are counts of ids over all training
+texts; the rest is trained by gradient descent on every training text.
+
+Training: the texts are dealt to shards of about SHARD_IDS ids by a hash, and within a shard sorted,
+so the same texts give the same model however the table is partitioned or a task is run again. A
+shard descends on its texts of a round from the round's common start; then each row of each
+parameter becomes the mean over the shards that used it, weighted by their use of it.
 
 Scoring: texts are cut into overlapping windows of CONTEXT ids, STRIDE apart; each id is scored
 once, in the window where it has the longest context, with batched masked attention. The base
@@ -21,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, blocks, cut, prefix_sums, slice_hashes, text_bytes
+from .arrays import blocks, cut, drop_table, release, text_bytes, word_hashes, word_spans
 from .bpe import BLOCK, loaded
 
-CONTEXT, STRIDE, WIDTH, END, VOCABULARY = 16, 8, 16, 50256, 50257
-#: Rounds of training; each takes another share of the training texts, by the crc32 of the id.
-ROUNDS, RATE, BATCH = 16, 0.1, 256
+#: Ids of a window, ids between windows, width of a context, slots of the table of pairs (by 16 bits).
+CONTEXT, STRIDE, WIDTH, PAIRS = 24, 16, 12, 1 << 16
+END, VOCABULARY = 50256, 50257
+#: Ids of a shard, about; rounds; windows of a step; ids from which windows are shuffled.
+SHARD_IDS, ROUNDS, BATCH, MIXED = 8_000_000, 2, 1024, 1 << 20
+#: Ids scored at once.
+SCORED = 1 << 19
+RATE = np.float32(0.2)
+#: Shards whose results one task sums; values of a parameter that it holds of each.
+FAN_IN, CHUNK = 32, 1 << 16
 #: Most words whose counts are sent to all executors; others are joined by a shuffle.
 SENT_WORDS = 1 << 17
-FIRST = (0, 1, 17, 273)  # number of the first node of each step
-NODES = 4369
-_ONES = np.ones(16, np.float32)
+MOST = np.float32(60)
+_ONES, _ROWS = np.ones(1 << 16, np.float32), np.arange(1 << 17)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -40,265 +50,374 @@ def held_out(doc_id: int | None) -> bool:
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of each word, A-Z lower-cased."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edge = np.zeros(len(low) + 1, bool)
-    edge[at] = True
-    start, end = word.copy(), word.copy()
-    start[1:] &= ~word[:-1] | edge[1:-1]
-    end[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return slice_hashes(prefix_sums(BYTE_VALUES[low]), first, last), np.searchsorted(at, first, side="right") - 1
+    low, first, last, text = word_spans(data, at)
+    return word_hashes(low, first, last), text
+
+
+def windows(off: np.ndarray, context: int, stride: int):
+    """Start, end of the text, text, and whether it is the text's first, of each window."""
+    n = np.diff(off)
+    count = np.maximum(1, -(-(n - context) // stride) + 1)
+    text = np.repeat(np.arange(len(n)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return off[:-1][text] + number * stride, off[1:][text], text, number == 0
+
+
+def _clipped(z: np.ndarray) -> np.ndarray:
+    """exp of z, which is kept from overflow (z itself is changed)."""
+    if z.size and z.max() > MOST:
+        np.minimum(z, MOST, out=z)
+    return z
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of each one's values, and how often it stands there."""
+    order = np.argsort(rows, kind="stable")
+    r = rows.take(order)
+    edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    return r[edges], np.add.reduceat(values.take(order, 0), edges, axis=0), np.diff(np.append(edges, len(r)))
 
 
 class Attention:
-    """The parameters, by name; biases come from counts and are not trained."""
+    """Parameters by name (p), their row-wise Adagrad sums (seen) and the layout of ids.
+
+    Ids are numbered by falling count (`rank`); those never seen in training share the number n.
+    """
 
     def __init__(self, counts: np.ndarray, seed: int = 7):
+        counts = np.asarray(counts, np.int64)
+        ids = np.flatnonzero(counts)
+        ids = ids[np.lexsort((ids, -counts[ids]))]
+        n = self.n = len(ids)
+        self.rank = np.full(len(counts), n, np.uint16)
+        self.rank[ids] = np.arange(n)
+        self.end = int(self.rank[END]) if len(counts) > END else n
+        c = counts[ids].astype(float)
+        # classes hold like shares of the root of the counts, so frequent ids have small ones
+        share = np.cumsum(np.sqrt(c)) / max(np.sqrt(c).sum(), 1e-9)
+        many = max(1, int(np.ceil(0.6 * np.sqrt(n))))
+        of = np.unique(np.minimum((np.append(0, share[:-1]) * many).astype(int), many - 1), return_inverse=True)[1] if n else np.zeros(0, int)
+        self.classes = (int(of.max()) + 1 if n else 0) + 1  # the last has the ids never seen
+        self.class_of = np.append(of, self.classes - 1).astype(np.int64)
+        self.edge = np.append(np.searchsorted(of, np.arange(self.classes)), n + 1)
+        rest = max(1, len(counts) - n)
+        mass = np.append(np.bincount(of, weights=c, minlength=self.classes - 1), 0.1 * rest)
+        self.unseen = np.float32(-np.log(rest))
         rng = np.random.default_rng(seed)
-        f = lambda *shape, by=0.1: (rng.standard_normal(shape) * by).astype(np.float32)
-        self.p = {"embed": f(VOCABULARY, WIDTH, by=0.3), "query": f(WIDTH, WIDTH, by=0.25), "key": f(WIDTH, WIDTH, by=0.25), "value": f(WIDTH, WIDTH, by=0.25), "lag": np.zeros(CONTEXT, np.float32), "out": np.zeros((NODES, 16, WIDTH), np.float32)}
-        full = np.zeros(1 << 16)
-        full[:VOCABULARY] = counts + 0.1
-        bias = []
-        for step in range(4):
-            mass = full.reshape(16 ** (step + 1), -1).sum(1).reshape(-1, 16) + 1e-6
-            bias.append(np.log(mass / mass.sum(1, keepdims=True)))
-        self.bias = np.concatenate(bias).astype(np.float32)
-
-    def windows(self, ids: np.ndarray, at: np.ndarray):
-        """Inputs, targets, text and whether scored, of each cell of each window; texts end with END.
-
-        The input before a text's first id is END. Returns arrays of (windows, CONTEXT).
-        """
+        f = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
+        top, out = np.zeros((self.classes, WIDTH + 1), np.float32), np.zeros((n, WIDTH + 1), np.float32)
+        top[:, WIDTH], out[:, WIDTH] = np.log(mass / mass.sum()), np.log(np.maximum(c, 1))
+        # the last column of top and out is a bias, as the contexts end in 1
+        self.p = {"embed": f(n + 1, WIDTH, by=0.3), "pair": f(PAIRS, WIDTH, by=0.1), "query": f(WIDTH, WIDTH, by=0.25), "key": f(WIDTH, WIDTH, by=0.25), "value": f(WIDTH, WIDTH, by=0.25), "lag": np.zeros((CONTEXT, 1), np.float32), "top": top, "out": out}
+        self.seen = {x: np.full(len(v), 1e-6, np.float32) for x, v in self.p.items()}
+
+    def copy(self) -> Attention:
+        new = object.__new__(Attention)
+        new.__dict__ = {**self.__dict__, "p": {x: v.copy() for x, v in self.p.items()}, "seen": {x: v.copy() for x, v in self.seen.items()}}
+        return new
+
+    def stream(self, ranks: np.ndarray, at: np.ndarray):
+        """Inputs, targets and pair slots of texts end to end, and their offsets; texts end with END,
+        and END is the input before a text's first id."""
         n = np.diff(at) + 1
-        count = np.maximum(1, -(-(n - CONTEXT) // STRIDE) + 1)
-        text = np.repeat(np.arange(len(n)), count)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        cell = number[:, None] * STRIDE + np.arange(CONTEXT)
-        real = cell < n[text][:, None]
-        scored = real & ((number == 0)[:, None] | (np.arange(CONTEXT) >= CONTEXT - STRIDE))
-        spot = at[:-1][text][:, None] + cell
-        padded = np.append(ids, 0).astype(np.int64)
-        safe = np.minimum(spot, len(ids))
-        target = np.where(cell == n[text][:, None] - 1, END, padded[safe])
-        given = np.where(cell == 0, END, padded[np.maximum(np.minimum(spot - 1, len(ids)), 0)])
-        return np.where(real, given, END), np.where(real, target, END), text, scored
-
-    def attend(self, given: np.ndarray, last: int = CONTEXT):
-        """Contexts of the last cells of each window; also what the gradients need."""
-        p = self.p
-        e = p["embed"][given]
-        own = e[:, CONTEXT - last :]
-        q, k, v = own @ p["query"], e @ p["key"], e @ p["value"]
-        lag = np.arange(CONTEXT - last, CONTEXT)[:, None] - np.arange(CONTEXT)
-        mask = np.where(lag >= 0, p["lag"][np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
+        off = np.concatenate([[0], np.cumsum(n)])
+        first, last = np.zeros(off[-1], bool), np.zeros(off[-1], bool)
+        first[off[:-1]], last[off[1:] - 1] = True, True
+        given, target = np.full(off[-1], self.end, np.uint16), np.full(off[-1], self.end, np.uint16)
+        given[~first], target[~last] = ranks, ranks
+        before = np.append(np.uint16(self.end), given[:-1])
+        before[first] = self.end
+        pair = (given.astype(np.uint32) * np.uint32(40503) + before.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(16)
+        return given, target, pair.astype(np.uint16), off
+
+    def attend(self, e: np.ndarray, pair: np.ndarray, last: int):
+        """Contexts, ending in 1, of the last cells of each window; also what the gradients need."""
+        p, n, cells = self.p, len(e), e.shape[1]
+        own = e[:, cells - last :]
+        flat = e.reshape(-1, WIDTH)
+        q = (own.reshape(-1, WIDTH) @ (p["query"] * np.float32(WIDTH**-0.5))).reshape(n, last, WIDTH)
+        k, v = (flat @ p["key"]).reshape(n, cells, WIDTH), (flat @ p["value"]).reshape(n, cells, WIDTH)
+        lag = np.arange(cells - last, cells)[:, None] - np.arange(cells)
         w = q @ k.transpose(0, 2, 1)
-        w *= np.float32(WIDTH**-0.5)
-        w += mask
-        np.minimum(w, np.float32(60), out=w)  # in place of taking off the maximum
-        np.exp(w, out=w)
-        w /= (w.reshape(-1, CONTEXT) @ _ONES).reshape(len(w), last, 1)
-        return e, q, k, v, w, own + w @ v
-
-    def tree(self, h: np.ndarray, target: np.ndarray, grads: bool = False):
-        """Log probability of each target given its context; with grads also those of h and out."""
-        order = np.argsort(target.astype(np.uint16), kind="stable")
-        y, hs = target[order], h[order]
-        total = np.zeros(len(y), np.float32)
-        dh, touched, douts = np.zeros_like(hs) if grads else None, [], []
-        rows = np.arange(len(y))
-        for step in range(4):
-            prefix = y >> (16 - 4 * step)
-            child = (y >> (12 - 4 * step)) & 15
-            edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(y))
-            nodes = FIRST[step] + prefix[edges[:-1]]
-            z = self.bias[FIRST[step] + prefix]
-            few = len(nodes) * 8 > len(y)  # few rows a node: gather its weights for each row
-            if few:
-                weights = self.p["out"][FIRST[step] + prefix]
-                z += ((weights * hs[:, None, :]).reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(-1, 16)
-            else:
-                for node, a, b in zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    z[a:b] += hs[a:b] @ self.p["out"][node].T
-            np.minimum(z, np.float32(60), out=z)
-            total += z[rows, child]
+        w += np.where(lag >= 0, p["lag"][np.maximum(lag, 0), 0], np.float32(-1e9)).astype(np.float32)
+        np.exp(_clipped(w), out=w)
+        w /= (w.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
+        h = np.empty((n, last, WIDTH + 1), np.float32)
+        h[..., WIDTH] = 1
+        mixed = w @ v
+        mixed += own
+        mixed += pair
+        h[..., :WIDTH] = mixed
+        return own, q, k, v, w, h
+
+    def softmax(self, h: np.ndarray, y: np.ndarray, grads: bool = False, weight: np.ndarray | None = None):
+        """Log probability of each target given its context; with grads also those of h, top and out
+        (of the log likelihood's negative, each target weighted)."""
+        p, n = self.p, len(y)
+        order = np.argsort(y, kind="stable")
+        ys, hs = y.take(order).astype(np.int64), h.take(order, 0)
+        rows = _ROWS[:n] if n <= len(_ROWS) else np.arange(n)
+        z = _clipped(hs @ p["top"].T)
+        spot = rows * self.classes + self.class_of.take(ys)
+        total = z.reshape(-1).take(spot)
+        np.exp(z, out=z)
+        mass = np.maximum(z @ _ONES[: self.classes], np.float32(1e-30))
+        scale = weight.take(order) if weight is not None else None
+        if grads:
+            z *= (1 / mass)[:, None]
+            z.reshape(-1)[spot] -= 1
+            if scale is not None:
+                z *= scale[:, None]
+            dtop, dh, dout = z.T @ hs, z @ p["top"], np.zeros_like(p["out"])
+        edges, edge = np.searchsorted(ys, self.edge).tolist(), self.edge.tolist()
+        inner = np.ones(n, np.float32)
+        for c in range(self.classes - 1):
+            a, b, low = edges[c], edges[c + 1], edge[c]
+            size = edge[c + 1] - low
+            if a == b or size == 1:
+                continue
+            weights, part = p["out"][low : low + size], hs[a:b]
+            z = _clipped(part @ weights.T)
+            spot = rows[: b - a] * size + (ys[a:b] - low)
+            total[a:b] += z.reshape(-1).take(spot)
             np.exp(z, out=z)
-            mass = z @ _ONES
-            total -= np.log(mass)
+            ones = _ONES[:size] if size <= len(_ONES) else np.ones(size, np.float32)
+            inner[a:b] = np.maximum(z @ ones, np.float32(1e-30))
             if grads:
-                z /= mass[:, None]
-                z[rows, child] -= 1
-                touched.append(nodes)
-                if few:
-                    weights *= z[:, :, None]
-                    dh += weights.sum(1)
-                    douts.append(np.add.reduceat(z[:, :, None] * hs[:, None, :], edges[:-1], axis=0))
-                    continue
-                part = np.empty((len(nodes), 16, WIDTH), np.float32)
-                douts.append(part)
-                for i, (node, a, b) in enumerate(zip(nodes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                    part[i] = z[a:b].T @ hs[a:b]
-                    dh[a:b] += z[a:b] @ self.p["out"][node]
-        back = np.empty(len(y), np.int64)
-        back[order] = rows
-        return total[back], (dh[back] if grads else None), ((np.concatenate(touched), np.concatenate(douts)) if grads else None)
-
-    def groups(self, scored: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """Windows by how many of their last cells matter: a text's first window is scored from its
-        start, the others from their middle on."""
-        whole = scored[:, 0]
-        return [(rows, last) for rows, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)) if len(rows)]
-
-    def step(self, given: np.ndarray, target: np.ndarray, scored: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        """One Adagrad step on a batch of windows."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        parts = [(rows, last, scored[rows][:, CONTEXT - last :], *self.attend(given[rows], last)) for rows, last in self.groups(scored)]
-        targets = np.concatenate([target[rows][:, CONTEXT - last :][s] for rows, last, s, *_ in parts])
-        n = max(1, len(targets))
-        _, ds, (nodes, dout) = self.tree(np.concatenate([x[-1][x[2]] for x in parts]), targets, True)
-        grads = {x: np.zeros((WIDTH, WIDTH), np.float32) for x in ("query", "key", "value")}
-        dlag, at, cells, changes = np.zeros(CONTEXT), 0, [], []
-        for rows, last, s, e, q, k, v, w, h in parts:
-            dh = np.zeros_like(h)
-            size = int(s.sum())
-            dh[s] = ds[at : at + size]
-            at += size
-            dw = dh @ v.transpose(0, 2, 1)
-            dv = w.transpose(0, 2, 1) @ dh
-            mean = ((dw * w).reshape(-1, CONTEXT) @ _ONES).reshape(len(w), last, 1)
-            dz = w * (dw - mean)
-            lag = np.arange(CONTEXT - last, CONTEXT)[:, None] - np.arange(CONTEXT)
-            dlag += np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dz.sum(0), 0).ravel(), minlength=CONTEXT)
-            dz *= scale
-            dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
-            own = e[:, CONTEXT - last :].reshape(-1, WIDTH)
-            flat = e.reshape(-1, WIDTH)
-            grads["query"] += own.T @ dq.reshape(-1, WIDTH)
-            grads["key"] += flat.T @ dk.reshape(-1, WIDTH)
-            grads["value"] += flat.T @ dv.reshape(-1, WIDTH)
-            de = dk @ p["key"].T + dv @ p["value"].T
-            de[:, CONTEXT - last :] += dh + dq @ p["query"].T
-            cells.append(given[rows].ravel())
-            changes.append(de.reshape(-1, WIDTH))
-        order = np.argsort(ids := np.concatenate(cells), kind="stable")
-        ids = ids[order]
-        edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        dembed = np.add.reduceat(np.concatenate(changes)[order], edges, axis=0)
-        touched = {"embed": ids[edges], "out": nodes}  # only the rows that the batch touched change
-        for x, g in (grads | {"embed": dembed, "out": dout, "lag": dlag.astype(np.float32)}).items():
-            spot = touched.get(x, slice(None))
-            g = g / np.float32(n**0.5)
-            seen = memory[x][spot] + g * g
-            memory[x][spot] = seen
-            p[x][spot] -= np.float32(RATE) * g / (np.sqrt(seen) + np.float32(1e-3))
-
-    def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+                z /= inner[a:b, None]
+                z.reshape(-1)[spot] -= 1
+                if scale is not None:
+                    z *= scale[a:b, None]
+                dout[low : low + size] = z.T @ part
+                dh[a:b] += z @ weights
+        total -= np.log(mass) + np.log(inner)
+        total[edges[self.classes - 1] :] += self.unseen
+        out = np.empty(n, np.float32)
+        out[order] = total
+        if not grads:
+            return out
+        back = np.empty((n, WIDTH), np.float32)
+        back[order] = dh[:, :WIDTH]
+        return out, back, dtop, dout
+
+    def gradients(self, given, target, pair, start, stop, weight=None):
+        """Of the negative log likelihood of windows: name to (rows or None, values, times used)."""
+        p = self.p
+        cell = start[:, None] + np.arange(CONTEXT)
+        real = cell < stop[:, None]
+        np.minimum(cell, len(given) - 1, out=cell)
+        x, slot = given.take(cell), pair.take(cell)
+        e = p["embed"].take(x, 0)
+        own, q, k, v, w, h = self.attend(e, p["pair"].take(slot, 0), CONTEXT)
+        each = None if weight is None else np.broadcast_to(weight[:, None], real.shape)[real]
+        log, ds, dtop, dout = self.softmax(h[real], target.take(cell)[real], True, each)
+        dh = np.zeros((len(x), CONTEXT, WIDTH), np.float32)
+        dh[real] = ds
+        dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
+        dw *= w
+        dw -= w * (dw.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]).reshape(len(w), CONTEXT, 1)
+        lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
+        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dw.sum(0), 0).ravel(), minlength=CONTEXT)
+        dq, dk = (dw @ k).reshape(-1, WIDTH), (dw.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        dv, flat, rest = dv.reshape(-1, WIDTH), e.reshape(-1, WIDTH), dh.reshape(-1, WIDTH)
+        scale = np.float32(WIDTH**-0.5)
+        de = rest + dk @ p["key"].T
+        de += dv @ p["value"].T
+        de += dq @ (p["query"].T * scale)
+        n = len(log)
+        every = lambda g: (None, g.astype(np.float32), n)
+        used = real.ravel()
+        grads = {"query": every(flat.T @ dq * scale), "key": every(flat.T @ dk), "value": every(flat.T @ dv), "lag": every(dlag[:, None]), "top": every(dtop)}
+        grads["embed"] = _row_sums(x.ravel()[used], de[used])
+        grads["pair"] = _row_sums(slot.ravel()[used], rest[used])
+        grads["out"] = (None, dout, np.bincount(target.take(cell)[real], minlength=self.n + 1)[: self.n])
+        return log, grads
+
+    def step(self, given, target, pair, start, stop, weight=None, used: dict[str, np.ndarray] | None = None) -> float:
+        """One step of row-wise Adagrad on a batch of windows; `used` counts the use of each row."""
+        log, grads = self.gradients(given, target, pair, start, stop, weight)
+        shrink = np.float32(max(1, len(log)) ** -0.5)
+        for x, (rows, g, times) in grads.items():
+            g = g * shrink
+            square = np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            if rows is None:
+                rows = slice(None)
+            square += self.seen[x][rows]
+            self.seen[x][rows] = square
+            self.p[x][rows] -= g * (RATE / (np.sqrt(square) + np.float32(1e-3)))[:, None]
+            if used is not None:
+                used[x][rows] += times
+        return float(log.sum())
+
+    def scores(self, ranks: np.ndarray, at: np.ndarray, chunk: int = 1024) -> np.ndarray:
         """Natural log probability of each text with its end."""
+        given, target, pair, off = self.stream(ranks, at)
         out = np.zeros(len(at) - 1)
-        given, target, text, scored = self.windows(ids, at)
-        for rows, last in self.groups(scored):
-            for i in range(0, len(rows), 16384):
-                part = rows[i : i + 16384]
-                h = self.attend(given[part], last)[-1]
-                s = scored[part][:, CONTEXT - last :]
-                log, _, _ = self.tree(h[s], target[part][:, CONTEXT - last :][s])
-                row = np.broadcast_to(text[part][:, None], s.shape)[s]
-                out += np.bincount(row, weights=log, minlength=len(out))
+        start, stop, text, whole = windows(off, CONTEXT, STRIDE)
+        # a text's first window is scored from its start, the others in their last STRIDE cells
+        for some, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)):
+            for i in range(0, len(some), chunk):
+                r = some[i : i + chunk]
+                cell = start[r][:, None] + np.arange(CONTEXT)
+                real = cell[:, CONTEXT - last :] < stop[r][:, None]
+                np.minimum(cell, len(given) - 1, out=cell)
+                tail = cell[:, CONTEXT - last :]
+                h = self.attend(self.p["embed"].take(given.take(cell), 0), self.p["pair"].take(pair.take(tail), 0), last)[-1]
+                log = self.softmax(h[real], target.take(tail)[real])
+                out += np.bincount(np.broadcast_to(text[r][:, None], real.shape)[real], weights=log, minlength=len(out))
         return out
 
 
-def _training_texts(docs: DataFrame) -> DataFrame:
-    """Every text that is not held out, with its round, as a table that each round reads its part of."""
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    dealt = docs.where(crc % 7 != 2).select("doc_id", "text", F.floor(crc / 7 % ROUNDS).cast("int").alias("round"))
-    # a round has fewer, larger parts: each has about as many texts as a scan task has of the whole
-    parts = max(1, docs.rdd.getNumPartitions() // 4)
-    return cut(dealt.repartition(ROUNDS * parts, "round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))), "training", "round")
-
-
-def _train(model: Attention, texts: DataFrame, ranks_path: str) -> None:
-    """One round: every task descends on its texts; the changes are averaged by the ids seen. The
-    sums are made in chunks of rows, so no task holds two models' worth."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-    names = ("embed", "query", "key", "value", "lag", "out")
-    size = sum(model.p[x].size for x in names)
-    chunk = 1 << 16
-
-    def descend(batches):
-        pairs = loaded(ranks_path)
-        m = Attention(np.zeros(VOCABULARY))
-        m.bias = sent.value.bias
-        m.p = {x: y.copy() for x, y in sent.value.p.items()}
-        memory = {x: np.full_like(y, 1e-6) for x, y in m.p.items()}
-        seen = 0
-        for block in blocks(batches, BLOCK):
-            ids, at = pairs.encode(*text_bytes(block.column(1)))
-            given, target, _, scored = m.windows(ids, at)
-            mixed = np.random.default_rng(1).permutation(len(given))
-            for i in range(0, len(given), BATCH):
-                b = mixed[i : i + BATCH]
-                m.step(given[b], target[b], scored[b], memory)
-            seen += int(scored.sum())
-        if seen:
-            change = np.concatenate([(m.p[x] - sent.value.p[x]).ravel() for x in names]) * np.float32(seen)
-            n = -(-size // chunk)
-            yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array([change[i * chunk : (i + 1) * chunk].tobytes() for i in range(n)], pa.binary())], names=["chunk", "seen", "change"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, number = None, 0, 0
-        for b in batches:
-            for c, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                value = np.frombuffer(x, np.float32).astype(np.float64)
-                total, seen, number = value if total is None else total + value, seen + s, c
-        yield pa.record_batch([pa.array([number], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "seen", "change"])
-
-    schema = "chunk int, seen long, change binary"
-    rows = texts.select("doc_id", "text").mapInArrow(descend, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    sent.unpersist()
+def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed 16-bit values of a binary column end to end, and the n+1 offsets."""
+    each = column.to_pylist()
+    return np.frombuffer(b"".join(each), np.uint16), np.cumsum([0, *(len(x) // 2 for x in each)])
+
+
+def _parts(batch: pa.RecordBatch, most: int = SCORED) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `most` ids (one row at least)."""
+    ends = np.cumsum([len(x) // 2 + 1 for x in batch.column(2).to_pylist()])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _descend(model: Attention, rows: list[tuple[bytes, int]], used: dict[str, np.ndarray]) -> None:
+    """Train on the windows of these (ids, copies), in an order that hangs on them alone."""
+    ids = model.rank.take(np.frombuffer(b"".join(x for x, _ in rows), np.uint16))
+    at = np.concatenate([[0], np.cumsum([len(x) // 2 for x, _ in rows])])
+    copies = np.array([c for _, c in rows], np.float32)
+    given, target, pair, off = model.stream(ids, at)
+    start, stop, text, _ = windows(off, CONTEXT, CONTEXT)
+    order = np.random.default_rng(len(start)).permutation(len(start))
+    for i in range(0, len(order), BATCH):
+        b = order[i : i + BATCH]
+        weight = copies[text[b]]
+        model.step(given, target, pair, start[b], stop[b], None if weight.max() == 1 else weight, used)
+
+
+def _round(model: Attention, texts: DataFrame, shards: int) -> None:
+    """One round: every shard descends on its texts (shard, k1, k2, ids); rows become weighted means."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    names = list(model.p)
+    sizes = [model.p[x].size for x in names]
+
+    def emit(shard: int, m: Attention, used: dict[str, np.ndarray]):
+        """Pieces of the weighted parameters, their Adagrad sums and the weights."""
+        weight = [used[x].astype(np.float32) for x in names]
+        flat = [(m.p[x] * w[:, None]).ravel() for x, w in zip(names, weight, strict=True)] + [m.seen[x] * w for x, w in zip(names, weight, strict=True)] + weight
+        flat = np.concatenate(flat)
+        n = -(-len(flat) // CHUNK)
+        pieces = [flat[i * CHUNK : (i + 1) * CHUNK].astype(np.float32).tobytes() for i in range(n)]
+        yield pa.record_batch([pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(pieces, pa.binary())], names=["shard", "chunk", "value"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, m, used, held, size, last = None, None, {}, [], 0, None
+        for batch in batches:
+            for s, a, b, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if s != shard:
+                    if m is not None:
+                        _descend(m, held, used)
+                        yield from emit(shard, m, used)
+                    shard, m, held, size, last = s, sent.value.copy(), [], 0, None
+                    used = {x: np.zeros(len(v)) for x, v in m.p.items()}
+                if (a, b) == last:  # equal rows stand together: one text with a weight
+                    held[-1] = (held[-1][0], held[-1][1] + n)
+                    continue
+                if size >= MIXED:
+                    _descend(m, held, used)
+                    held, size = [], 0
+                held.append((ids, n))
+                size += len(ids) // 2
+                last = (a, b)
+        if m is not None:
+            _descend(m, held, used)
+            yield from emit(shard, m, used)
+        release()
+
+    def add(table: pa.Table) -> pa.Table:
+        """Sum of one piece over up to FAN_IN shards, in their order."""
+        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+        values = table.column("value")
+        total = sum(np.frombuffer(values[int(i)].as_py(), np.float32).astype(np.float64) for i in order)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py() // FAN_IN], pa.int64()), "chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "value": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "shard long, chunk int, value binary"
+    parts = max(1, min(shards, 1 << 15))
+    dealt = texts.repartition(parts, "shard").sortWithinPartitions("shard", "k1", "k2")
+    found = dealt.mapInArrow(descend, schema)
+    groups = shards
+    while True:
+        groups = -(-groups // FAN_IN)
+        found = found.groupBy(F.expr(f"shard div {FAN_IN}").alias("group"), "chunk").applyInArrow(add, schema)
+        if groups <= 1:
+            break
+    rows = sorted(found.collect(), key=lambda r: r["chunk"])  # as many values as the model has
+    sent.destroy()
     if not rows:
         return
-    change = np.concatenate([np.frombuffer(bytes(r["change"]), np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
-    at = 0
-    for x in names:
-        p = model.p[x]
-        model.p[x] = p + change[at : at + p.size].reshape(p.shape)
-        at += p.size
+    flat = np.concatenate([np.frombuffer(bytes(r["value"]), np.float32) for r in rows])
+    at = np.cumsum([0, *sizes, *(len(model.p[x]) for x in names), *(len(model.p[x]) for x in names)])
+    k = len(names)
+    for i, x in enumerate(names):
+        p, seen, weight = (flat[at[j] : at[j + 1]] for j in (i, i + k, i + 2 * k))
+        rows_used = weight > 0
+        w = np.maximum(weight, 1)
+        model.p[x] = np.where(rows_used[:, None], p.reshape(model.p[x].shape) / w[:, None], model.p[x]).astype(np.float32)
+        model.seen[x] = np.where(rows_used, seen / w, model.seen[x]).astype(np.float32)
+
+
+def train(counts: np.ndarray, texts: DataFrame, n_ids: int) -> Attention:
+    """The model of training texts (k1, k2, ids): k1 and k2 tell rows apart, ids are packed 16-bit ids."""
+    model = Attention(counts)
+    shards = max(1, -(-n_ids // SHARD_IDS))
+    keyed = texts.select(F.pmod(F.xxhash64("k1"), F.lit(shards)).alias("shard"), "k1", "k2", F.lit(1).cast("long").alias("n"), "ids", F.pmod(F.col("k1"), F.lit(ROUNDS)).alias("round"))
+    for i in range(ROUNDS):
+        _round(model, keyed.where(F.col("round") == i).drop("round"), shards)
+    return model
 
 
 def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    In: doc_id, text. Null or empty texts have the end alone. A null id counts as the empty text in
-    the split. With no training text all counts are 0 and the model is the smoothed start.
+    In: doc_id, text; other columns are not read. Null or empty texts have the end alone. A null id
+    counts as the empty text in the split. Equal rows have equal scores. With no training text all
+    counts are 0 and the model is the smoothed start; no rows give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, "doc_id").alias("k2"))
 
-    def count(batches):
-        """Counts of words (kind 0), ids (1) and texts (2) of the training texts."""
+    def encode(batches):
+        """Each text's ids (kind 3), and counts of words (kind 0), ids (1) and texts (2) for training."""
         pairs = loaded(ranks_path)
         ids_seen, texts = np.zeros(VOCABULARY, np.int64), 0
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def rows(kind, key, n):
-            return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+            size = len(key)
+            return pa.record_batch([pa.array(np.full(size, kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.binary())], names=["kind", "k1", "k2", "training", "ids"])
 
         for block in blocks(batches, BLOCK):
-            pick = [i for i, d in enumerate(block.column(0).to_pylist()) if not held_out(d)]
-            if not pick:
+            data, at = text_bytes(block.column(1))
+            ids, id_at = pairs.encode(data, at)
+            raw = ids.astype("<u2").tobytes()
+            pick = np.array([not held_out(d) for d in block.column(0).to_pylist()])
+            each = [raw[2 * a : 2 * b] for a, b in zip(id_at[:-1].tolist(), id_at[1:].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(np.full(block.num_rows, 3, np.int32)), block.column(2), block.column(3), pa.array(pick), pa.array(each, pa.binary())], names=["kind", "k1", "k2", "training", "ids"])
+            if not pick.any():
                 continue
-            data, at = text_bytes(block.column(1).take(pa.array(pick)))
-            ids_seen += np.bincount(pairs.encode(data, at)[0], minlength=VOCABULARY)
-            ids_seen[END] += len(pick)
-            texts += len(pick)
-            new, n = np.unique(words(data, at)[0], return_counts=True)
-            merged = np.concatenate([keys, new])
-            keys, back = np.unique(merged, return_inverse=True)
+            ids_seen += np.bincount(ids[np.repeat(pick, np.diff(id_at))], minlength=VOCABULARY)
+            ids_seen[END] += pick.sum()
+            texts += int(pick.sum())
+            hashes, text = words(data, at)
+            new, n = np.unique(hashes[pick[text]], return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 2_000_000:
+            if len(keys) > 1_000_000:
                 yield rows(0, keys.view(np.int64), counts)
                 keys, counts = keys[:0], counts[:0]
         if len(keys):
@@ -308,7 +427,8 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
             yield rows(1, used, ids_seen[used])
             yield rows(2, np.zeros(1, np.int64), np.array([texts]))
 
-    counted = cut(docs.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    encoded = cut(docs.select("doc_id", "text", "k1", "k2").mapInArrow(encode, "kind int, k1 long, k2 long, training boolean, ids binary"), "encoded", "kind")
+    counted = cut(encoded.where("kind < 3").groupBy("kind", F.col("k1").alias("key")).agg(F.sum("k2").alias("n")), "counts")
     ids = np.zeros(VOCABULARY, np.int64)
     texts = 0
     for kind, key, n in counted.where("kind > 0").collect():  # no more rows than the vocabulary has ids
@@ -329,39 +449,47 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
     keys, n = frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     order = np.argsort(keys)
 
-    model = Attention(ids)
-    training = _training_texts(docs)
-    for round_ in range(ROUNDS):
-        _train(model, training.where(F.col("round") == round_), ranks_path)
-    sent = spark.sparkContext.broadcast((model, keys[order], np.log10(n[order] + 1.0)))
+    each = encoded.where("kind = 3").select("k1", "k2", "training", "ids")
+    model = train(ids, each.where("training").drop("training"), int(ids.sum()))
+    sent = spark.sparkContext.broadcast(model)
+    known_words = spark.sparkContext.broadcast((keys[order], np.log10(n[order] + 1.0)))
     end_score = float(np.log10(texts + 1.0))
 
     def score(batches):
-        pairs = loaded(ranks_path)
-        m, known, logs = sent.value
+        m = sent.value
+        for batch in batches:
+            for part in _parts(batch):
+                raw, at = _offsets(part.column(2))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(m.scores(m.rank.take(raw), at) / np.log(10))], names=["k1", "k2", "score"])
+        release()
+
+    def base(batches):
+        known, logs = known_words.value
         for block in blocks(batches, BLOCK):
-            data, at = text_bytes(block.column(1))
-            hashes, text = words(data, at)
+            hashes, text = words(*text_bytes(block.column(1)))
             rows = block.num_rows
             slot = np.searchsorted(known, hashes)
             slot[slot == len(known)] = 0
             hit = known[slot] == hashes if len(known) else np.zeros(len(hashes), bool)
-            base = np.bincount(text[hit], weights=logs[slot[hit]] if hit.any() else None, minlength=rows)[:rows].astype(float)
-            n_hit = np.bincount(text[hit], minlength=rows)
-            n_words = np.bincount(text, minlength=rows)
+            total = np.bincount(text[hit], weights=logs[slot[hit]] if hit.any() else None, minlength=rows)[:rows].astype(float)
             rest = np.flatnonzero(~hit)
             edge = np.searchsorted(text[rest], np.arange(rows + 1)).astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(edge), pa.array(hashes[rest].view(np.int64)))
-            value = m.scores(*pairs.encode(data, at)) / np.log(10)
             split = [held_out(d) for d in block.column(0).to_pylist()]
-            yield pa.record_batch([block.column(0), pa.array(split), pa.array(n_words + 1, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(base), pa.array(value), rare], names=["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare"])
+            yield pa.record_batch([block.column(0), block.column(2), block.column(3), pa.array(split), pa.array(np.bincount(text, minlength=rows) + 1, pa.int64()), pa.array(np.bincount(text[hit], minlength=rows), pa.int64()), pa.array(total), rare], names=["doc_id", "k1", "k2", "held_out", "n_tokens", "hits", "base", "rare"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>"
-    scored = cut(docs.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    # equal rows once; copies of a row are joined back by the two hashes of its id and text
+    values = cut(each.select("k1", "k2", "ids").mapInArrow(score, "k1 long, k2 long, score double"), "scores")
+    value = values.groupBy("k1", "k2").agg(F.max("score").alias("score"))
+    schema = "doc_id long, k1 long, k2 long, held_out boolean, n_tokens long, hits long, base double, rare array<long>"
+    scored = cut(docs.select("doc_id", "text", "k1", "k2").mapInArrow(base, schema).withColumn("row", F.monotonically_increasing_id()), "base")
     rest = scored.select("row", F.explode("rare").alias("key")).join(table, "key", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("more"), F.count("n").alias("found"))
-    out = scored.drop("rare").join(rest, "row", "left")
+    out = cut(scored.drop("rare").join(rest, "row", "left").join(value, ["k1", "k2"], "left"), "scored")
+    sent.destroy()
+    known_words.destroy()
+    drop_table(encoded, counted, scored, values)
     total = float(np.log10(train_tokens + distinct + 1.0))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(total)
-    known_words = F.col("hits") + F.coalesce("found", F.lit(0)) + F.lit(1 if texts else 0)
-    return out.select("doc_id", "held_out", "n_tokens", known_words.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base_score = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(total)
+    n_known = F.col("hits") + F.coalesce("found", F.lit(0)) + F.lit(1 if texts else 0)
+    return out.select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")

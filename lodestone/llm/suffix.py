@@ -90,8 +90,8 @@ class SuffixIndex:
             _, older = self.levels.pop()
             merged = cut(older.unionByName(level).groupBy("key", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "context"), "level")
             if size:
-                drop_table(self.spark, level)
-            drop_table(self.spark, older)
+                drop_table(level)
+            drop_table(older)
             level, size = merged, size + 1
         if not size:
             level = cut(level.sortWithinPartitions("key", "context"), "level")
@@ -106,7 +106,7 @@ class SuffixIndex:
 
     def drop(self) -> None:
         for _, rows in self.levels:
-            drop_table(self.spark, rows)
+            drop_table(rows)
         self.levels = []
 
 

@@ -333,28 +333,90 @@ def test_lm(spark, sf):
     assert lm.score_texts(spark.createDataFrame([], DOCS), RANKS).count() == 0
 
 
-def test_lm_windows_and_gradient():
-    rng = np.random.default_rng(7)
-    m = lm.Attention(rng.integers(1, 50, lm.VOCABULARY))
-    ids = rng.integers(0, 50_000, 100)
-    at = np.array([0, 0, 1, 40, 100])
-    _, _, text, scored = m.windows(ids, at)
-    assert np.bincount(np.broadcast_to(text[:, None], scored.shape)[scored], minlength=4).tolist() == [1, 2, 40, 61]  # each id and end once
-    before = m.scores(ids, at)
-    cut = m.scores(ids[1:40], np.array([0, 39]))
-    assert cut[0] == pytest.approx(before[2], rel=1e-5)  # a text's score does not hang on its neighbours
-    memory = {x: np.full_like(y, 1e-6) for x, y in m.p.items()}
-    given, target, _, scored = m.windows(ids, at)
+def naive_log(m, ids):
+    """Log probability of one text by the model's definition, position by position."""
+    p = {x: v.astype(float) for x, v in m.p.items()}
+    seq = [m.end, *(int(m.rank[i]) for i in ids)]
+    pairs = [((r * 40503 + (seq[i - 1] if i else m.end) * 2654435761) % 2**32) >> 16 for i, r in enumerate(seq)]
+    total = 0.0
+    for t, target in enumerate([*seq[1:], m.end]):
+        k = 0 if t < lm.CONTEXT else -(-(t - lm.CONTEXT + 1) // lm.STRIDE)  # first window that holds t
+        span = range(k * lm.STRIDE, t + 1)
+        e = p["embed"][seq[t]]
+        w = np.array([e @ p["query"] @ (p["embed"][seq[j]] @ p["key"]) / lm.WIDTH**0.5 + p["lag"][t - j, 0] for j in span])
+        w = np.exp(w - w.max())
+        h = e + p["pair"][pairs[t]] + sum(x * (p["embed"][seq[j]] @ p["value"]) for x, j in zip(w / w.sum(), span, strict=True))
+        h = np.append(h, 1)
+        top = p["top"] @ h
+        c = m.class_of[target]
+        total += top[c] - np.log(np.exp(top).sum())
+        if target == m.n:
+            total += float(m.unseen)
+        else:
+            inner = p["out"][m.edge[c] : m.edge[c + 1]] @ h
+            total += inner[target - m.edge[c]] - np.log(np.exp(inner).sum())
+    return total
+
+
+def random_model(seed=7):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(lm.VOCABULARY, int)
+    counts[rng.choice(lm.VOCABULARY, 300, replace=False)] = rng.integers(1, 500, 300)
+    counts[lm.END] = 20
+    m = lm.Attention(counts)
+    for x in ("top", "out", "lag"):
+        m.p[x] = m.p[x] + rng.standard_normal(m.p[x].shape).astype(np.float32) / 5
+    return m, rng, np.flatnonzero(counts)
+
+
+def test_lm_scores_by_definition():
+    m, rng, known = random_model()
+    sizes = [0, 1, lm.CONTEXT - 1, lm.CONTEXT, lm.CONTEXT + 1, lm.CONTEXT + lm.STRIDE, 97]
+    texts = [np.where(rng.random(n) < 0.9, rng.choice(known, n), rng.integers(0, lm.VOCABULARY, n)) for n in sizes]
+    got = m.scores(m.rank[np.concatenate(texts)], np.cumsum([0, *sizes]))
+    assert got == pytest.approx([naive_log(m, t) for t in texts], rel=1e-4)
+    # each id is scored once, and all ids together have the whole probability
+    off = np.cumsum([0, *(n + 1 for n in sizes)])
+    start, stop, _, whole = lm.windows(off, lm.CONTEXT, lm.STRIDE)
+    scored = np.concatenate([np.arange(a if f else a + lm.CONTEXT - lm.STRIDE, min(b, a + lm.CONTEXT)) for a, b, f in zip(start, stop, whole, strict=True)])
+    assert sorted(scored) == list(range(off[-1]))
+    h = np.append(rng.standard_normal(lm.WIDTH), 1).astype(np.float32)[None]
+    logs = m.softmax(np.repeat(h, m.n + 1, 0), np.arange(m.n + 1, dtype=np.uint16)).astype(float)
+    assert np.exp(logs[: m.n]).sum() + (lm.VOCABULARY - m.n) * np.exp(logs[m.n]) == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_gradient():
+    m, rng, known = random_model()
+    ids, at = m.rank[rng.choice(known, 90)], np.array([0, 3, 90])
+    given, target, pair, off = m.stream(ids, at)
+    start, stop, _, _ = lm.windows(off, lm.CONTEXT, lm.CONTEXT)
+    weight = np.arange(1, len(start) + 1, dtype=np.float32)
+
+    def loss():
+        out = 0.0
+        for a, b, w in zip(start, stop, weight, strict=True):
+            log, _ = m.gradients(given, target, pair, np.array([a]), np.array([b]))
+            out -= w * float(log.astype(float).sum())
+        return out
+
+    _, grads = m.gradients(given, target, pair, start, stop, weight)
+    for x, (rows, g, _) in grads.items():
+        r = int(np.argmax(np.abs(g).max(1)))
+        c = int(np.argmax(np.abs(g[r])))
+        row = r if rows is None else rows[r]
+        old = m.p[x][row, c]
+        m.p[x][row, c] = old + 0.01
+        up = loss()
+        m.p[x][row, c] = old - 0.01
+        assert (up - loss()) / 0.02 == pytest.approx(g[r, c], rel=0.03), x
+        m.p[x][row, c] = old
+    before = m.scores(ids, at).sum()
     for _ in range(20):
-        m.step(given, target, scored, memory)
-    assert m.scores(ids, at).sum() > before.sum()
-    h = rng.standard_normal((1, lm.WIDTH)).astype(np.float32)
-    all_ids = np.arange(lm.VOCABULARY)
-    logs, _, _ = m.tree(np.repeat(h, len(all_ids), 0), all_ids)
-    assert 0.99 < np.exp(logs.astype(float)).sum() <= 1.001
+        m.step(given, target, pair, start, stop)
+    assert m.scores(ids, at).sum() > before
 
 
-def test_lm_trains_on_every_training_text(spark):
+def test_lm_trains_on_every_training_text_however_partitioned(spark, sf, monkeypatch):
     pairs = bpe.loaded(RANKS)
     firsts = {}  # texts of one id that no other text has
     for i in range(300, 50_000):
@@ -363,16 +425,30 @@ def test_lm_trains_on_every_training_text(spark):
             firsts[i] = word.decode()
         if len(firsts) == 200:
             break
-    docs = spark.createDataFrame([(d, t) for d, t in enumerate(firsts.values())], DOCS)
-    training = lm._training_texts(docs)
-    assert sorted(r.doc_id for r in training.collect()) == [d for d in range(200) if not lm.held_out(d)]
-    model = lm.Attention(np.ones(lm.VOCABULARY))
-    model.p["out"] += np.random.default_rng(9).standard_normal(model.p["out"].shape).astype(np.float32) / 10  # at 0 nothing reaches the embeddings
-    start = model.p["embed"].copy()
-    for i in range(lm.ROUNDS):
-        lm._train(model, training.where(F.col("round") == i), RANKS)
-    moved = (model.p["embed"] != start).any(1)
-    assert [bool(moved[i]) for i in firsts] == [not lm.held_out(d) for d in range(200)]
+    monkeypatch.setattr(lm, "SHARD_IDS", 40)  # several shards
+    counts = np.ones(lm.VOCABULARY, int)
+    rows = [(d, -d, np.array([i, i], "<u2").tobytes()) for d, i in enumerate(firsts)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, ids binary")
+    start = lm.Attention(counts)
+    start.p["out"] += np.random.default_rng(9).standard_normal(start.p["out"].shape).astype(np.float32) / 10  # at 0 nothing reaches the embeddings
+    with monkeypatch.context() as m:
+        m.setattr(lm, "Attention", lambda counts, made=lm.Attention.copy: made(start))
+        model, again = lm.train(counts, texts, 400), lm.train(counts, texts.repartition(7), 400)
+    moved = (model.p["embed"] != start.p["embed"]).any(1)
+    assert all(moved[start.rank[i]] for i in firsts)
+    assert all(np.array_equal(model.p[x], again.p[x]) for x in model.p)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({(r.doc_id): r.score for r in lm.score_texts(docs.repartition(n), RANKS).collect()} for n in (1, 32))
+    assert one == pytest.approx(many, rel=1e-5)
+
+
+def test_lm_rows_that_repeat_and_clash(spark):
+    text = "the words of this text " * 40
+    rows = [(1, text, 5), (1, text, 6), (None, text, 7), (None, None, 8), (None, "", 8), (4, "x" * 70_000, 9)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, score long").withColumn("k1", F.lit("clash")), RANKS).collect()
+    assert len(got) == 6 and got[0].train_tokens > 0
+    ones = [r.score for r in got if r.doc_id == 1]
+    assert len(ones) == 2 and ones[0] == ones[1] and all(np.isfinite(r.score) for r in got)
 
 
 # 10
