@@ -39,7 +39,7 @@ RATE = np.float32(0.2)
 #: Shards whose results one task sums; values of a parameter that it holds of each.
 FAN_IN, CHUNK = 32, 1 << 16
 #: Most words whose counts are sent to all executors; others are joined by a shuffle.
-SENT_WORDS = 1 << 17
+SENT_WORDS = 1 << 19
 MOST = np.float32(60)
 _ONES, _ROWS = np.ones(1 << 16, np.float32), np.arange(1 << 17)
 
@@ -63,11 +63,9 @@ def windows(off: np.ndarray, context: int, stride: int):
     return off[:-1][text] + number * stride, off[1:][text], text, number == 0
 
 
-def _clipped(z: np.ndarray) -> np.ndarray:
-    """exp of z, which is kept from overflow (z itself is changed)."""
-    if z.size and z.max() > MOST:
-        np.minimum(z, MOST, out=z)
-    return z
+def _norm(x: np.ndarray) -> float:
+    """The longest row's length."""
+    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,10 +108,11 @@ class Attention:
         # the last column of top and out is a bias, as the contexts end in 1
         self.p = {"embed": f(n + 1, WIDTH, by=0.3), "pair": f(PAIRS, WIDTH, by=0.1), "query": f(WIDTH, WIDTH, by=0.25), "key": f(WIDTH, WIDTH, by=0.25), "value": f(WIDTH, WIDTH, by=0.25), "lag": np.zeros((CONTEXT, 1), np.float32), "top": top, "out": out}
         self.seen = {x: np.full(len(v), 1e-6, np.float32) for x, v in self.p.items()}
+        self.done = 0  # windows trained on
 
     def copy(self) -> Attention:
-        new = object.__new__(Attention)
-        new.__dict__ = {**self.__dict__, "p": {x: v.copy() for x, v in self.p.items()}, "seen": {x: v.copy() for x, v in self.seen.items()}}
+        new = object.__new__(type(self))
+        new.__dict__ = {**self.__dict__, "done": 0, "p": {x: v.copy() for x, v in self.p.items()}, "seen": {x: v.copy() for x, v in self.seen.items()}}
         return new
 
     def stream(self, ranks: np.ndarray, at: np.ndarray):
@@ -140,7 +139,9 @@ class Attention:
         lag = np.arange(cells - last, cells)[:, None] - np.arange(cells)
         w = q @ k.transpose(0, 2, 1)
         w += np.where(lag >= 0, p["lag"][np.maximum(lag, 0), 0], np.float32(-1e9)).astype(np.float32)
-        np.exp(_clipped(w), out=w)
+        if _norm(q) * _norm(k) + float(np.abs(p["lag"]).max()) > MOST:
+            np.minimum(w, MOST, out=w)
+        np.exp(w, out=w)
         w /= (w.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
         h = np.empty((n, last, WIDTH + 1), np.float32)
         h[..., WIDTH] = 1
@@ -157,11 +158,15 @@ class Attention:
         order = np.argsort(y, kind="stable")
         ys, hs = y.take(order).astype(np.int64), h.take(order, 0)
         rows = _ROWS[:n] if n <= len(_ROWS) else np.arange(n)
-        z = _clipped(hs @ p["top"].T)
+        longest = _norm(hs)
+        z = hs @ p["top"].T
+        if longest * _norm(p["top"]) > MOST:
+            np.clip(z, -MOST, MOST, out=z)
+        wide = longest * _norm(p["out"]) > MOST
         spot = rows * self.classes + self.class_of.take(ys)
         total = z.reshape(-1).take(spot)
         np.exp(z, out=z)
-        mass = np.maximum(z @ _ONES[: self.classes], np.float32(1e-30))
+        mass = z @ _ONES[: self.classes]
         scale = weight.take(order) if weight is not None else None
         if grads:
             z *= (1 / mass)[:, None]
@@ -177,12 +182,14 @@ class Attention:
             if a == b or size == 1:
                 continue
             weights, part = p["out"][low : low + size], hs[a:b]
-            z = _clipped(part @ weights.T)
+            z = part @ weights.T
+            if wide:
+                np.clip(z, -MOST, MOST, out=z)
             spot = rows[: b - a] * size + (ys[a:b] - low)
             total[a:b] += z.reshape(-1).take(spot)
             np.exp(z, out=z)
             ones = _ONES[:size] if size <= len(_ONES) else np.ones(size, np.float32)
-            inner[a:b] = np.maximum(z @ ones, np.float32(1e-30))
+            inner[a:b] = z @ ones
             if grads:
                 z /= inner[a:b, None]
                 z.reshape(-1)[spot] -= 1
@@ -210,9 +217,14 @@ class Attention:
         e = p["embed"].take(x, 0)
         own, q, k, v, w, h = self.attend(e, p["pair"].take(slot, 0), CONTEXT)
         each = None if weight is None else np.broadcast_to(weight[:, None], real.shape)[real]
-        log, ds, dtop, dout = self.softmax(h[real], target.take(cell)[real], True, each)
-        dh = np.zeros((len(x), CONTEXT, WIDTH), np.float32)
-        dh[real] = ds
+        whole = bool(real.all())  # no masks needed
+        y = target.take(cell).ravel() if whole else target.take(cell)[real]
+        log, ds, dtop, dout = self.softmax(h.reshape(-1, WIDTH + 1) if whole else h[real], y, True, each)
+        if whole:
+            dh = ds.reshape(len(x), CONTEXT, WIDTH)
+        else:
+            dh = np.zeros((len(x), CONTEXT, WIDTH), np.float32)
+            dh[real] = ds
         dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
         dw *= w
         dw -= w * (dw.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]).reshape(len(w), CONTEXT, 1)
@@ -226,11 +238,11 @@ class Attention:
         de += dq @ (p["query"].T * scale)
         n = len(log)
         every = lambda g: (None, g.astype(np.float32), n)
-        used = real.ravel()
+        used = slice(None) if whole else real.ravel()
         grads = {"query": every(flat.T @ dq * scale), "key": every(flat.T @ dk), "value": every(flat.T @ dv), "lag": every(dlag[:, None]), "top": every(dtop)}
         grads["embed"] = _row_sums(x.ravel()[used], de[used])
         grads["pair"] = _row_sums(slot.ravel()[used], rest[used])
-        grads["out"] = (None, dout, np.bincount(target.take(cell)[real], minlength=self.n + 1)[: self.n])
+        grads["out"] = (None, dout, np.bincount(y, minlength=self.n + 1)[: self.n])
         return log, grads
 
     def step(self, given, target, pair, start, stop, weight=None, used: dict[str, np.ndarray] | None = None) -> float:
@@ -292,10 +304,13 @@ def _descend(model: Attention, rows: list[tuple[bytes, int]], used: dict[str, np
     given, target, pair, off = model.stream(ids, at)
     start, stop, text, _ = windows(off, CONTEXT, CONTEXT)
     order = np.random.default_rng(len(start)).permutation(len(start))
-    for i in range(0, len(order), BATCH):
-        b = order[i : i + BATCH]
+    i = 0
+    while i < len(order):
+        size = min(BATCH, 64 + model.done // 8)  # small steps first
+        b = order[i : i + size]
         weight = copies[text[b]]
         model.step(given, target, pair, start[b], stop[b], None if weight.max() == 1 else weight, used)
+        i, model.done = i + size, model.done + size
 
 
 def _round(model: Attention, texts: DataFrame, shards: int) -> None:
@@ -395,7 +410,11 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
         """Each text's ids (kind 3), and counts of words (kind 0), ids (1) and texts (2) for training."""
         pairs = loaded(ranks_path)
         ids_seen, texts = np.zeros(VOCABULARY, np.int64), 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found, held = [], 0
+
+        def merged(parts):
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            return key.view(np.int64), n
 
         def rows(kind, key, n):
             size = len(key)
@@ -414,20 +433,19 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
             ids_seen[END] += pick.sum()
             texts += int(pick.sum())
             hashes, text = words(data, at)
-            new, n = np.unique(hashes[pick[text]], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield rows(0, keys.view(np.int64), counts)
-                keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield rows(0, keys.view(np.int64), counts)
+            found.append(hashes[pick[text]])
+            held += len(found[-1])
+            if held > 4_000_000:
+                yield rows(0, *merged(found))
+                found, held = [], 0
+        if held:
+            yield rows(0, *merged(found))
         if texts:
             used = np.flatnonzero(ids_seen)
             yield rows(1, used, ids_seen[used])
             yield rows(2, np.zeros(1, np.int64), np.array([texts]))
 
-    encoded = cut(docs.select("doc_id", "text", "k1", "k2").mapInArrow(encode, "kind int, k1 long, k2 long, training boolean, ids binary"), "encoded", "kind")
+    encoded = cut(docs.select("doc_id", "text", "k1", "k2").mapInArrow(encode, "kind int, k1 long, k2 long, training boolean, ids binary"), "encoded")
     counted = cut(encoded.where("kind < 3").groupBy("kind", F.col("k1").alias("key")).agg(F.sum("k2").alias("n")), "counts")
     ids = np.zeros(VOCABULARY, np.int64)
     texts = 0
