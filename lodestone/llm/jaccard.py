@@ -1,10 +1,9 @@
 """N-gram Jaccard join with rare-first prefixes (Xiao et al. 2008), grouped into components.
 
-1. Document frequencies of shingles over all documents, as counts in a table of fixed size. Any
-   total order of shingles gives right prefixes; the table makes it nearly rare-first. Only a
-   quarter of the shingles (by hash) is counted and comes first in the order, so the counts stay
-   sharp and a prefix, a tenth of a set, rarely needs the others.
-2. Equal sets collapse to one node, the smallest doc_id that has it.
+1. Document frequencies of all shingles over all documents, in a table whose slots follow the
+   number of words, up to MOST_SLOTS. Any total order of shingles gives right prefixes; the table
+   makes it rare-first, as a slot that few shingles fall in tells how rare they are.
+2. Equal sets collapse to one node.
 3. Nodes that share a prefix shingle, with sizes in reach of each other, get a common candidate
    component: the nodes of a shingle are chained to a leader by size, never paired.
 4. The prefixes of a candidate component meet (in pairs of blocks, if it is large): sets that have
@@ -25,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, blocks, cut, mix, prefix_sums, slice_hashes, text_bytes
+from .arrays import blocks, cut, drop_table, mix, partitions, text_bytes, word_hashes, word_spans
 from .components import connected_components
 
 #: Least similarity in percent; words of a shingle.
 PERCENT, WORDS = 90, 3
-#: Slots of the frequency table, and chunks that it is summed in; bits of the filter on node ids.
-SLOTS, CHUNKS, FILTER_BITS = 1 << 18, 64, 1 << 23
+#: Slots of the frequency table at least and at most (a byte each when sent), chunks that it is summed in.
+LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 64
+#: Bits of the filter on texts.
+FILTER_BITS = 1 << 23
 #: Set elements that one task compares at most, before a component is cut into blocks; how many of
 #: them a prefix element, which is kept in a dictionary, counts for.
 BLOCK_ELEMENTS, PREFIX_WEIGHT = 3_000_000, 5
@@ -40,18 +41,10 @@ BLOCK_ELEMENTS, PREFIX_WEIGHT = 3_000_000, 5
 def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, text by text, and the offset of each text's first."""
     n_texts = len(at) - 1
-    if not len(data):
+    low, first, last, text = word_spans(data, at)
+    if not len(first):
         return np.zeros(0, np.uint64), np.zeros(n_texts + 1, np.int64)
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    edge = np.zeros(len(low) + 1, bool)
-    edge[at] = True
-    start, end = word.copy(), word.copy()
-    start[1:] &= ~word[:-1] | edge[1:-1]
-    end[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    hashes = slice_hashes(prefix_sums(BYTE_VALUES[low]), first, last)
-    text = np.searchsorted(at, first, side="right") - 1
+    hashes = word_hashes(low, first, last)
     count = np.bincount(text, minlength=n_texts)
     found, of = [], []
     if len(hashes) >= words:
@@ -81,19 +74,10 @@ def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.n
     return hashes, np.searchsorted(text, np.arange(n_texts + 1))
 
 
-def _counted(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(3)) == 0
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes >> np.uint64(2)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 def ordered_keys(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Keys whose order is the global one: counted shingles first, by frequency class, then by hash."""
-    first = _counted(hashes)
-    rank = np.where(first, table[_slot(hashes)].astype(np.uint64), np.uint64(0))
-    return (np.where(first, np.uint64(0), np.uint64(1)) << np.uint64(62)) | (rank << np.uint64(54)) | (hashes >> np.uint64(10))
+    """Keys whose order is the global one: by frequency class, then by hash (of which 55 bits stay)."""
+    rank = table[(hashes & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.uint64)
+    return (rank << np.uint64(55)) | (hashes >> np.uint64(9))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -101,32 +85,50 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Frequency classes (8 a doubling, as bytes) of the slots, from all documents."""
-    per = SLOTS // CHUNKS
+    """Frequency classes (8 a doubling, as bytes) of the slots, from all shingles of all documents."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = LEAST_SLOTS
+    while slots < MOST_SLOTS and slots < size // 4:
+        slots *= 2
+    per = slots // CHUNKS
 
     def count(batches):
-        total = np.zeros(SLOTS, np.uint32)
+        """Slots that a task has met and how often, each chunk packed as gaps and counts."""
+
+        def packed(found):
+            slot, n = np.unique(np.concatenate(found), return_counts=True)
+            edges = np.searchsorted(slot, np.arange(CHUNKS + 1) * per)
+            pieces = []
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                pieces.append((slot[a:b] - i * per).astype(np.uint32).tobytes() + np.minimum(n[a:b], 0xFFFF).astype(np.uint16).tobytes())
+            return pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())], names=["chunk", "counts"])
+
+        found, held = [], 0
         for block in blocks(batches, 1 << 19):
             hashes, _ = shingles(*text_bytes(block.column(0)), words)
-            total += np.bincount(_slot(hashes[_counted(hashes)]), minlength=SLOTS).astype(np.uint32)
-        if total.any():
-            yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * per : (i + 1) * per].tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
+            found.append((hashes & np.uint64(slots - 1)).astype(np.uint32))
+            held += len(hashes)
+            if held > 3_000_000:
+                yield packed(found)
+                found, held = [], 0
+        if held:
+            yield packed(found)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sum of one chunk, batch by batch."""
-        total = np.zeros(per, np.uint64)
-        chunk = None
+        """Frequency classes of one chunk, summed batch by batch."""
+        total, chunk = np.zeros(per, np.uint64), None
         for table in batches:
             for c, x in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
-                chunk = c
-                total += np.frombuffer(x, np.uint32).astype(np.uint64)
-        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+                chunk, n = c, len(x) // 6
+                total[np.frombuffer(x, np.uint32, n)] += np.frombuffer(x, np.uint16, n, 4 * n)
+        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "classes"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros(SLOTS, np.uint64)
-    for r in parts:
-        table[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(bytes(r["counts"]), np.uint64)
-    return np.minimum(255, 8 * np.log2(1.0 + table)).astype(np.uint8)
+    # a chunk is a fixed share of the table, whatever the input; its parts are added as they come
+    found = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk")
+    table = np.zeros(slots, np.uint8)
+    for r in found.groupBy("chunk").applyInArrow(add, "chunk int, classes binary").toLocalIterator():
+        table[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    return table
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -239,15 +241,23 @@ def _in_blocks(members, weight: str):
     return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other", weight)
 
 
+def _dealt(members: DataFrame, weight: str, columns: list[str]):
+    """The rows by (root, i, j), over tasks of their own: small tables are not drawn together."""
+    rows = _in_blocks(members, weight).select("root", "i", "j", *columns)
+    return rows.repartition(partitions(members.sparkSession), "root", "i", "j").groupBy("root", "i", "j")
+
+
 def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row.
 
-    In: doc_id, text. Null, empty or blank texts have the empty set and are linked with nothing; a
-    null doc_id has no component (null) but its row stays. Rows that repeat a doc_id are one node.
+    In: doc_id, text; other columns are not read. Null, empty or blank texts have the empty set and
+    are linked with nothing: their component is their own id. A null doc_id has no component (null)
+    and links nothing, but its row stays. Rows are nodes by their sets, so rows of equal id and
+    text are one, and rows that repeat an id with another text are judged by their own texts.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = spark.sparkContext.broadcast(frequency_table(docs, words))  # SLOTS bytes
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    table = spark.sparkContext.broadcast(frequency_table(docs, words))  # MOST_SLOTS bytes at most
 
     def describe(batches):
         for block in blocks(batches, 1 << 19):
@@ -261,10 +271,12 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
                 prefixes.append(np.partition(own, p - 1)[:p].astype(np.int64) if 0 < p < b - a else own.astype(np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-            yield pa.record_batch([block.column(0), pa.array(np.diff(at), pa.int64()), pa.array(signs, pa.binary()), lists], names=["doc_id", "n", "sign", "prefix"])
+            first, second = (pa.array([int.from_bytes(x[i : i + 8], "little", signed=True) for x in signs], pa.int64()) for i in (0, 8))
+            yield pa.record_batch([block.column(0), block.column(2), pa.array(np.diff(at), pa.int64()), first, second, lists], names=["doc_id", "hash", "n", "node", "more", "prefix"])
 
-    rows = cut(docs.mapInArrow(describe, "doc_id long, n long, sign binary, prefix array<long>"), "rows")
-    nodes = cut(rows.where("n > 0 and doc_id is not null").groupBy("n", "sign").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "nodes")
+    rows = cut(docs.mapInArrow(describe, "doc_id long, hash long, n long, node long, more long, prefix array<long>"), "rows")
+    # a set is known by 128 bits; its first 64 name the node
+    nodes = cut(rows.where("n > 0 and doc_id is not null").groupBy("node", "more").agg(F.min("doc_id").alias("first"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
 
     by_size = Window.partitionBy("key").orderBy("n", "node")
     members = nodes.select("node", "n", F.explode("prefix").alias("key"))
@@ -276,7 +288,8 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     edges = runs.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("a <> b")
     shared = runs.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("shared"))
     about = nodes.select("node", "n", F.array_max("prefix").alias("last"), (F.col("n") - F.size("prefix")).alias("rest"))
-    roots = connected_components(edges, "shared").join(shared, "node").join(about, "node")
+    joined = connected_components(edges, "shared")
+    roots = cut(joined.join(shared, "node").join(about, "node"), "roots")
     weights = roots.groupBy("root").agg((F.sum(F.size("shared")) * PREFIX_WEIGHT).alias("weight"))
 
     def refine(table: pa.Table) -> pa.Table:
@@ -288,36 +301,45 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
         links = _solve(ids, _shared(keys), n, linked, own, percent, cross)
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    dealt = _in_blocks(roots.join(weights, "root"), "weight").select("root", "i", "j", "own", "node", "n", "last", "rest", "shared")
-    close = dealt.groupBy("root", "i", "j").applyInArrow(refine, "a long, b long")
-    candidates = connected_components(close, "candidates").join(nodes.select("node", "n"), "node")
+    close = _dealt(roots.join(weights, "root"), "weight", ["own", "node", "n", "last", "rest", "shared"]).applyInArrow(refine, "a long, b long")
+    near = connected_components(close, "candidates")
+    candidates = near.join(nodes.select("node", "n", "hash"), "node")
     weights = candidates.groupBy("root").agg(F.sum("n").alias("weight"))
-    candidates = cut(candidates.select("node", "root").join(weights, "root"), "candidates")
+    candidates = cut(candidates.select("node", "hash", "root").join(weights, "root"), "candidates")
+    drop_table(runs, joined, roots, near)
 
-    # a filter of fixed size on ids spares most sets the shuffle
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    # a filter of fixed size on the texts' hashes spares most sets the shuffle
+    bit = F.pmod("hash", F.lit(FILTER_BITS))
     words_of = candidates.select(bit.alias("bit")).select(F.expr("cast(bit div 64 as int)").alias("i"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits")).groupBy("i").agg(F.bit_or("bits").alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words_of:
         bits[r["i"]] = r["bits"]
     wanted = spark.sparkContext.broadcast(bits)
-    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
 
     def full_sets(batches):
+        """Sets of the texts that may be candidates; of equal texts of a task, the first."""
+        sent: set[int] = set()
         for block in blocks(batches, 1 << 19):
-            bit = np.asarray(block.column(2))
-            hit = (wanted.value[bit // 64] >> (bit % 64)) & 1
-            block = block.filter(pa.array(hit.astype(bool)))
+            bit = np.asarray(block.column(1)) % FILTER_BITS
+            hit = ((wanted.value[bit // 64] >> (bit % 64)) & 1).astype(bool)
+            for i in np.flatnonzero(hit).tolist():
+                h = block.column(1)[i].as_py()
+                hit[i] = h not in sent
+                sent.add(h)
+            block = block.filter(pa.array(hit))
             if block.num_rows:
-                hashes, at = shingles(*text_bytes(block.column(1)), words)
+                hashes, at = shingles(*text_bytes(block.column(0)), words)
                 keys = ordered_keys(hashes, table.value)
                 packed = [np.sort(keys[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.record_batch([block.column(0), pa.array(packed, pa.binary())], names=["node", "keys"])
+                yield pa.record_batch([block.column(1), pa.array(packed, pa.binary())], names=["hash", "keys"])
 
-    sets = hashed.mapInArrow(full_sets, "node long, keys binary").join(candidates, "node")
-    sets = _in_blocks(sets, "weight").select("root", "i", "j", "own", "node", "keys")
+    texts = docs.where("doc_id is not null and text is not null").select("text", "hash")
+    sets = texts.mapInArrow(full_sets, "hash long, keys binary").join(candidates, "hash")
 
     def solve(table: pa.Table) -> pa.Table:
+        ids = table.column("node").to_pylist()
+        once = list({x: i for i, x in enumerate(ids)}.values())  # a text may come from several tasks
+        table = table.take(pa.array(once))
         ids, own = table.column("node").to_pylist(), table.column("own").to_pylist()
         members = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
         sizes = [len(m) for m in members]
@@ -327,9 +349,15 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
         links = _solve(ids, prefixes, sizes, linked, own, percent, cross)
         return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    links = cut(sets.groupBy("root", "i", "j").applyInArrow(solve, "a long, b long"), "links")
+    links = _dealt(sets, "weight", ["own", "node", "keys"]).applyInArrow(solve, "a long, b long")
     found = connected_components(links, "components")
-    group = nodes.select("n", "sign", "node").join(found, "node", "left").select("n", "sign", F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("doc_id", "n", "sign").join(group, ["n", "sign"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    table.destroy()
+    wanted.destroy()
+    named = nodes.select("node", "more", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    group = named.join(least, "root").select("node", "more", "component_id")
+    out = rows.select("doc_id", "n", "node", "more").join(group, ["node", "more"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    result = cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "grouped")
+    drop_table(rows, nodes, candidates, found)
+    return result

@@ -385,9 +385,8 @@ def _round(model: Attention, texts: DataFrame, shards: int) -> None:
         model.seen[x] = np.where(rows_used, seen / w, model.seen[x]).astype(np.float32)
 
 
-def train(counts: np.ndarray, texts: DataFrame, n_ids: int) -> Attention:
-    """The model of training texts (k1, k2, ids): k1 and k2 tell rows apart, ids are packed 16-bit ids."""
-    model = Attention(counts)
+def train(model: Attention, texts: DataFrame, n_ids: int) -> Attention:
+    """The model after training texts (k1, k2, ids): k1 and k2 tell rows apart, ids are packed 16-bit ids."""
     shards = max(1, -(-n_ids // SHARD_IDS))
     keyed = texts.select(F.pmod(F.xxhash64("k1"), F.lit(shards)).alias("shard"), "k1", "k2", F.lit(1).cast("long").alias("n"), "ids", F.pmod(F.col("k1"), F.lit(ROUNDS)).alias("round"))
     for i in range(ROUNDS):
@@ -468,7 +467,7 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
     order = np.argsort(keys)
 
     each = encoded.where("kind = 3").select("k1", "k2", "training", "ids")
-    model = train(ids, each.where("training").drop("training"), int(ids.sum()))
+    model = train(Attention(ids), each.where("training").drop("training"), int(ids.sum()))
     sent = spark.sparkContext.broadcast(model)
     known_words = spark.sparkContext.broadcast((keys[order], np.log10(n[order] + 1.0)))
     end_score = float(np.log10(texts + 1.0))
