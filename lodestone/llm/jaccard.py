@@ -30,7 +30,7 @@ from .components import connected_components
 #: Least similarity in percent; words of a shingle.
 PERCENT, WORDS = 90, 3
 #: Slots of the frequency table at least and at most (a byte each when sent), chunks that it is summed in.
-LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 64
+LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 16
 #: Bits of the filter on texts.
 FILTER_BITS = 1 << 23
 #: Set elements that one task compares at most, before a component is cut into blocks; how many of

@@ -45,6 +45,23 @@ def test_html_text():
     assert html.extract(None, None) == "" and html.extract("", ">body.") == ""
     assert html.extract("plain 1 < 2 text", None) == "plain 1 < 2 text"
     assert html.extract("<p>" * 3000 + "deep", None) == "deep"
+    assert html.extract("<div>" * 100_000 + "deep", None) == "deep"
+    # words that name furniture elsewhere don't inside an article; reader comments go everywhere
+    page = "<body><article><p>" + "text " * 40 + "</p><div class='share-price'>12 up</div><div class='side effects'>none</div><div class='comments'>first!</div><div id='comment-list'>second</div></article></body>"
+    assert html.extract(page, None) == "text " * 40 + "12 up none"
+    # menus that nothing marks are known by their links
+    links = "".join(f"<a href='/{i}'>go to page {i}</a> " for i in range(8))
+    page = f"<body><div class=top>{links}</div><div class=story><p>{'words ' * 50}</p><form>name</form></div><div class=right><ul>{links}</ul></div><div class='cookie-notice left'>ok</div></body>"
+    assert html.extract(page, None) == ("words " * 50).strip()
+    page = f"<body><div>{links}</div><div><p>{'words ' * 50}</p></div></body>"
+    assert html.extract(page, None) == ("words " * 50).strip()
+
+
+def test_html_host_overrules_page(spark):
+    page = "<body><div class=main><p>{0}</p></div><div class=extra><p>{1}</p></div></body>"
+    rows = [(i, "http://h.example/", page.format("long article text " * 20, "more")) for i in range(5)] + [(9, "http://h.example/", page.format("short", "a far longer box " * 20))]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "short" and got[0] == ("long article text " * 20).strip()
 
 
 def test_html_hosts(spark):
@@ -425,13 +442,14 @@ def test_lm_trains_on_every_training_text_however_partitioned(spark, sf, monkeyp
             firsts[i] = word.decode()
         if len(firsts) == 200:
             break
-    monkeypatch.setattr(lm, "SHARD_IDS", 40)  # several shards
     counts = np.ones(lm.VOCABULARY, int)
     rows = [(d, -d, np.array([i, i], "<u2").tobytes()) for d, i in enumerate(firsts)]
     texts = spark.createDataFrame(rows, "k1 long, k2 long, ids binary")
     start = lm.Attention(counts)
     start.p["out"] += np.random.default_rng(9).standard_normal(start.p["out"].shape).astype(np.float32) / 10  # at 0 nothing reaches the embeddings
-    model, again = lm.train(start.copy(), texts, 400), lm.train(start.copy(), texts.repartition(7), 400)
+    with monkeypatch.context() as m:
+        m.setattr(lm, "SHARD_IDS", 150)  # three shards
+        model, again = lm.train(start.copy(), texts, 400), lm.train(start.copy(), texts.repartition(7), 400)
     moved = (model.p["embed"] != start.p["embed"]).any(1)
     assert all(moved[start.rank[i]] for i in firsts)
     assert all(np.array_equal(model.p[x], again.p[x]) for x in model.p)
