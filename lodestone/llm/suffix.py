@@ -7,10 +7,11 @@ holds its sampled suffixes as fingerprints of their first K bytes and of their c
 all windows that chose them, sorted by both; the order by fingerprint brings equal prefixes
 together just as the lexicographic one does, in 16 bytes a suffix.
 
-SuffixIndex.add() sorts a new batch, merge-scans it against every level for long matches, and
-merges levels of equal size, so each suffix is rewritten a logarithmic number of times. Matches
-are then settled to the byte: suffixes with equal contexts repeat in all their windows; where a
-prefix has several contexts, their windows are compared one by one within the prefix's group.
+SuffixIndex.add() sorts a new batch, merge-scans it against itself and every level for prefixes that
+stand in both, which go to a table of matches, and merges levels of equal size, so each suffix is
+rewritten a logarithmic number of times. Matches are then settled to the byte, from the matched
+prefixes alone: suffixes with equal contexts repeat in all their windows; where a prefix has several
+contexts, their windows are compared one by one within the prefix's group.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, blocks, cut, drop_table, mix, prefix_sums, slice_hashes, smallest_places, text_bytes
 
 LENGTH, K = 200, 32
-#: Batches that one load is cut into; bits of the filters on prefixes (fixed size, whatever the input).
-BATCHES, FILTER_BITS = 2, 1 << 26
+#: Batches that one load is cut into; bits of a filter for each of its keys, and bits at least and at most.
+BATCHES, BITS_A_KEY, LEAST_BITS, MOST_BITS = 3, 16, 1 << 16, 1 << 27
 #: Rows of a settling group on average; contexts of one prefix beyond which its windows are shuffled singly.
 GROUP_ROWS, HOT_CONTEXTS = 20_000, 20_000
 
@@ -58,24 +59,26 @@ def sampled(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K):
     return text[first], a, lo, hi, grams[a], context, sums
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """did and mark tell rows apart: the id, and for repeated ids 16 bits of the text's hash."""
+def _identity(docs: DataFrame) -> DataFrame:
+    """docs with did and mark, which tell rows apart: the id and a 64-bit hash of the text; for rows
+    without an id another hash of the text stands in its place. Equal rows have equal spans."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).alias("mark"), text.alias("text"))
+    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(7), text))).withColumn("mark", F.xxhash64(text))
 
 
 class SuffixIndex:
-    """Levels of sorted suffix arrays as tables in the shared folder.
+    """Levels of sorted suffix arrays as tables in the shared folder, and the matches of their scans.
 
-    A level has a row for each (key, context): how many suffixes have it.
+    A level has a row for each (key, context): how many suffixes have it. A level of size class s
+    holds 2**s batches; no two levels are of one class.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []  # (size class, rows)
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []  # (size class, rows), the largest first
+        self.found: list[DataFrame] = []  # keys that a scan has met twice
 
     def add(self, batch: DataFrame) -> None:
-        """Sort a batch of (did, mark, text), scan it against the levels, merge equal-sized levels."""
+        """Sort a batch (text), scan it against itself and the levels, merge equal-sized levels."""
 
         def entries(batches):
             for block in blocks(batches, 1 << 19):
@@ -83,44 +86,51 @@ class SuffixIndex:
                 if len(key):
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], names=["key", "context"])
 
-        counted = batch.select("text").mapInArrow(entries, "key long, context long").groupBy("key", "context").agg(F.count("*").alias("n"))
-        size, level = 0, counted
-        # the scan of a level of equal size and its merge are one pass over both sorted arrays
+        def run(rows: DataFrame) -> DataFrame:
+            return cut(rows.groupBy("key", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "context"), "level")
+
+        level = run(batch.select("text").mapInArrow(entries, "key long, context long").withColumn("n", F.lit(1).cast("long")))
+        twice = level.groupBy("key").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.sum("n").alias("n")).where("n > 1 or a <> b").select("key")
+        for _, older in self.levels:
+            twice = twice.unionByName(level.select("key").join(older.select("key"), "key", "left_semi"))
+        self.found.append(cut(twice.distinct(), "matches"))
+        size = 0
         while self.levels and self.levels[-1][0] == size:
             _, older = self.levels.pop()
-            merged = cut(older.unionByName(level).groupBy("key", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "context"), "level")
-            if size:
-                drop_table(level)
-            drop_table(older)
+            merged = run(older.unionByName(level))
+            drop_table(older, level)
             level, size = merged, size + 1
-        if not size:
-            level = cut(level.sortWithinPartitions("key", "context"), "level")
         self.levels.append((size, level))
 
     def contexts(self) -> DataFrame:
-        """(key, context, n) over all levels."""
-        rows = self.levels[0][1]
+        """(key, context, n) of the matched keys over all levels."""
+        keys, rows = self.found[0], self.levels[0][1]
+        for more in self.found[1:]:
+            keys = keys.unionByName(more)
         for _, more in self.levels[1:]:
             rows = rows.unionByName(more)
-        return rows.groupBy("key", "context").agg(F.sum("n").alias("n")) if len(self.levels) > 1 else rows
+        met = rows.join(keys.distinct(), "key", "left_semi")
+        return met.groupBy("key", "context").agg(F.sum("n").alias("n"))
 
     def drop(self) -> None:
-        for _, rows in self.levels:
-            drop_table(rows)
-        self.levels = []
+        drop_table(*self.found, *(rows for _, rows in self.levels))
+        self.levels, self.found = [], []
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys, of fixed size; more keys than it can tell apart only send more rows on."""
-    bit = F.pmod("key", F.lit(FILTER_BITS))
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits of the n keys, by their number up to MOST_BITS; keys that share a bit only send more rows on."""
+    size = LEAST_BITS
+    while size < MOST_BITS and size < BITS_A_KEY * n:
+        size *= 2
+    bit = F.pmod("key", F.lit(size))
     words = keys.select(bit.alias("bit")).select(F.expr("cast(bit div 64 as int)").alias("i"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits")).groupBy("i").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words.column("i").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
 def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    bit = (key & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    bit = (key & np.uint64(64 * len(bits) - 1)).astype(np.int64)
     return ((bits[bit >> 6] >> (bit & 63)) & 1).astype(bool)
 
 
@@ -162,17 +172,23 @@ SPANS = "did long, mark long, start long, end long"
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(did, mark, start, end) of byte spans covered by a LENGTH-byte string that starts elsewhere too."""
     spark = docs.sparkSession
-    rows = _identified(docs)
-    index = SuffixIndex(spark)
+    rows = _identity(docs).select("did", "mark", F.coalesce("text", F.lit("")).alias("text"))
+    index = SuffixIndex()
     for i in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("did", "mark"), F.lit(batches)) == i))
-    contexts = index.contexts()
-    found = cut(contexts.groupBy("key").agg(F.sum("n").alias("suffixes"), F.count("*").alias("contexts")).where("contexts > 1"), "matches")
-    whole = cut(contexts.where("n > 1").select("key", "context"), "whole")
+    contexts = cut(index.contexts(), "contexts")
     index.drop()
-    total = found.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.coalesce(F.max("contexts"), F.lit(0))).first()
-    send = spark.sparkContext.broadcast
-    full = send(_filter(whole.select(F.col("context").alias("key"))))
+    found = cut(contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"), "mixed")
+    whole = cut(contexts.where("n > 1").select("key", "context"), "whole")
+    drop_table(contexts)
+    n, total, most = found.agg(F.count("*"), F.coalesce(F.sum("contexts"), F.lit(0)), F.coalesce(F.max("contexts"), F.lit(0))).first()
+    sent = []
+
+    def send(bits: np.ndarray):
+        sent.append(spark.sparkContext.broadcast(bits))
+        return sent[-1]
+
+    full = send(_filter(whole.select(F.col("context").alias("key")), whole.count()))
 
     # suffixes whose context stands in two places: all their windows are repeated. A context with very
     # many copies is a skewed side of an equality join, which Spark splits.
@@ -188,14 +204,13 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 yield pa.record_batch([pa.array(x) for x in (key[keep].view(np.int64), context[keep].view(np.int64), did, mark, start, start + (hi - lo) + LENGTH)], names=["key", "context", "did", "mark", "start", "end"])
 
     spans = rows.mapInArrow(repeated, f"key long, context long, {SPANS}").join(whole, ["key", "context"], "left_semi").select("did", "mark", "start", "end")
-    if not total[0]:
-        return spans
-    mixed = send(_filter(found))
-    hot = send(_filter(found.where(f"contexts > {HOT_CONTEXTS}"))) if total[1] > HOT_CONTEXTS else None
+    mixed = send(_filter(found, n))
+    many = found.where(f"contexts > {HOT_CONTEXTS}")
+    hot = send(_filter(many, many.count())) if most > HOT_CONTEXTS else None
 
     def suffixes(batches):
         """Suffixes whose key may have several contexts; the first with a context in a task has its bytes."""
-        sent: set[int] = set()
+        given: set[int] = set()
         for block in blocks(batches, 1 << 19):
             data, at = text_bytes(block.column(2))
             text, _, lo, hi, key, context, _ = sampled(data, at)
@@ -209,10 +224,10 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             raw = data.tobytes()
             parts = []
             for c, a, b in zip(context.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                parts.append(None if c in sent else raw[a : b + LENGTH])
-                sent.add(c)
-            if len(sent) > 500_000:
-                sent.clear()
+                parts.append(None if c in given else raw[a : b + LENGTH])
+                given.add(c)
+            if len(given) > 200_000:
+                given.clear()
             did, mark = np.asarray(block.column(0))[text], np.asarray(block.column(1))[text]
             yield pa.record_batch(
                 [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(did), pa.array(mark), pa.array(lo - at[text]), pa.array(hi - lo + 1), pa.array(parts, pa.binary())],
@@ -220,7 +235,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             )
 
     schema = "key long, context long, did long, mark long, lo long, windows long, bytes binary"
-    groups = max(1, -(-total[0] // GROUP_ROWS))
+    groups = max(1, -(-total // GROUP_ROWS))
     # copies of a context are counted before the shuffle, so a key's group has its contexts, not its copies
     once = rows.mapInArrow(suffixes, schema).groupBy("key", "context").agg(F.count("*").alias("n"), F.first("did").alias("did"), F.first("mark").alias("mark"), F.first("lo").alias("lo"), F.first("windows").alias("windows"), F.first("bytes", True).alias("bytes"))
     spans = spans.unionByName(once.groupBy(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp")).applyInArrow(_settle, SPANS))
@@ -244,7 +259,11 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         twice = every.groupBy("window").count().where("count > 1").select("window")
         more = every.join(twice, "window", "left_semi").select("did", "mark", "start", (F.col("start") + LENGTH).alias("end"))
         spans = spans.unionByName(more)
-    return spans
+    done = cut(spans, "spans")
+    for x in sent:
+        x.destroy()
+    drop_table(found, whole)
+    return done
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -252,14 +271,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     In: doc_id, text; columns of those names, did, mark, starts and ends are replaced. A null text
     counts as empty (its row keeps the null). Texts of fewer than LENGTH bytes keep everything.
+    Rows that repeat an id, or have none, are judged by their own texts; no rows give no rows.
     What is cut may split a character: `kept` has the very bytes, `text` them without broken ones.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "did", "mark", "starts", "ends")
     docs = docs.drop(*new)
     spans = repeated_spans(docs).groupBy("did", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    text = F.coalesce("text", F.lit(""))
-    named = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("mark", F.pmod(F.xxhash64(text), F.lit(1 << 16)))
-    joined = named.join(spans, ["did", "mark"], "left").drop("did", "mark")
+    joined = _identity(docs).join(spans, ["did", "mark"], "left").drop("did", "mark")
     spot = joined.columns.index("text")
     width, names = len(docs.columns), [*docs.columns, *new[:5]]
 

@@ -102,6 +102,34 @@ def test_suffix(spark, monkeypatch, hot):
     assert suffix.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5, 9])
+def test_suffix_levels(spark, batches):
+    rng = random.Random(batches)
+    w = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    shared = [w(220) for _ in range(6)]
+    rows = [(i, w(rng.randint(0, 300)) + rng.choice(shared)[rng.randint(0, 19) :] + w(rng.randint(0, 90))) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    index = suffix.SuffixIndex()
+    for i in range(batches):
+        index.add(docs.where(F.pmod("doc_id", F.lit(batches)) == i))
+    assert [size for size, _ in index.levels] == [s for s in range(4, -1, -1) if batches >> s & 1]
+    assert sum(n for _, r in index.levels for n, in r.select("n").collect()) == len(suffix.sampled(*text_bytes(pa.array([t for _, t in rows])))[0])
+    index.drop()
+    spans = {}
+    for r in suffix.repeated_spans(docs, batches).collect():
+        spans.setdefault(r.did, set()).update(range(r.start, r.end))
+    assert {d: len(spans.get(d, ())) for d, _ in rows} == {d: removed for d, _, removed, _, _ in brute_repeats(rows)}
+
+
+def test_suffix_null_ids(spark):
+    rng = random.Random(3)
+    w = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    p = w(230)
+    rows = [(None, w(200 + i % 50) + (p if i % 3 == 0 else "")) for i in range(2000)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted_rows(got) == brute_repeats(rows)
+
+
 def test_suffix_past_16_mib():
     rng = random.Random(10)
     w = lambda n: bytes(rng.choices(b"abcd ", k=n))
