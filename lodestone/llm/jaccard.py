@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import blocks, cut, drop_table, mix, partitions, text_bytes, word_hashes, word_spans
+from .arrays import blocks, cut, drop_table, mix, partitions, release, text_bytes, word_hashes, word_spans
 from .components import connected_components
 
 #: Least similarity in percent; words of a shingle.
 PERCENT, WORDS = 90, 3
 #: Slots of the frequency table at least and at most (a byte each when sent), chunks that it is summed in.
-LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 16
+LEAST_SLOTS, MOST_SLOTS, CHUNKS = 1 << 16, 1 << 25, 64
 #: Bits of the filter on texts.
 FILTER_BITS = 1 << 23
 #: Set elements that one task compares at most, before a component is cut into blocks; how many of
@@ -100,7 +100,12 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             edges = np.searchsorted(slot, np.arange(CHUNKS + 1) * per)
             pieces = []
             for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                pieces.append((slot[a:b] - i * per).astype(np.uint32).tobytes() + np.minimum(n[a:b], 0xFFFF).astype(np.uint16).tobytes())
+                gap = np.diff(slot[a:b].astype(np.int64), prepend=i * per)
+                steps = gap // 255  # a gap is as many bytes of 255 as it takes, of count 0, and the rest
+                ends = np.cumsum(steps + 1) - 1
+                gaps, counts = np.full(int(steps.sum()) + b - a, 255, np.uint8), np.zeros(int(steps.sum()) + b - a, np.uint16)
+                gaps[ends], counts[ends] = gap % 255, np.minimum(n[a:b], 0xFFFF)
+                pieces.append(gaps.tobytes() + counts.tobytes())
             return pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())], names=["chunk", "counts"])
 
         found, held = [], 0
@@ -119,15 +124,18 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         total, chunk = np.zeros(per, np.uint64), None
         for table in batches:
             for c, x in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
-                chunk, n = c, len(x) // 6
-                total[np.frombuffer(x, np.uint32, n)] += np.frombuffer(x, np.uint16, n, 4 * n)
+                chunk, n = c, len(x) // 3
+                at = np.cumsum(np.frombuffer(x, np.uint8, n), dtype=np.int64)
+                count = np.frombuffer(x[n:], np.uint16)
+                total[at[count > 0]] += count[count > 0]
         yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "classes"])
 
     # a chunk is a fixed share of the table, whatever the input; its parts are added as they come
-    found = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk")
+    found = docs.select("text").mapInArrow(count, "chunk int, counts binary")
     table = np.zeros(slots, np.uint8)
-    for r in found.groupBy("chunk").applyInArrow(add, "chunk int, classes binary").toLocalIterator():
+    for r in found.groupBy("chunk").applyInArrow(add, "chunk int, classes binary").collect():
         table[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    release()
     return table
 
 

@@ -4,7 +4,7 @@ Features: presence of each word (a run of letters, A-Z lower-cased; bytes from 0
 letters) and of its first 4 and first 5 bytes, as 64-bit hashes. One weight vector is shared by
 all ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). Grades come from the labels: 0 for a
 row that is not toxic; toxic rows are cut at the median of their evidence (the score of a first,
-two-grade fit) into 1 and 2. The output is the expected grade, the sum of P(grade >= k).
+two-grade fit) into 1 and 2, so these two grade the evidence, not a label. The output is the expected grade, the sum of P(grade >= k).
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .arrays import BYTE_VALUES, blocks, mix, prefix_sums, slice_hashes, text_bytes
+from .arrays import BYTE_VALUES, blocks, mix, prefix_sums, release, slice_hashes, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most, taken by a hash of their id.
 TRAINING_ROWS = 6_000
-#: Features kept for the fit at most, the most telling first; in at least so many different texts.
-FEATURES, LEAST_TEXTS = 4_000, 4
+#: Texts that a feature stands in at least to be fitted.
+LEAST_TEXTS = 4
 PREFIXES = (4, 5)
 
 
@@ -134,30 +134,40 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Ordina
     seen: dict[bytes, int] = {}
     for x, y in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         seen[x] = max(seen.get(x, 0), y)
+    del table
     toxic = np.array([1 if y else 0 for y in seen.values()])
     if not len(toxic) or toxic.min() == toxic.max():
         return none
-    sets = [np.frombuffer(x, np.uint64) for x in seen]
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    least = min(LEAST_TEXTS, max(1, len(toxic) // 20))
+    # features in too few texts go before any array of all of them is sorted
+    slot = lambda x: (np.frombuffer(x, np.uint64) >> np.uint64(42)).astype(np.int64)
+    often = np.zeros(1 << 22, np.int32)
+    for x in seen:
+        np.add.at(often, slot(x), 1)
+    sets = [np.frombuffer(x, np.uint64)[often[slot(x)] >= least] for x in seen]
+    n_texts = len(sets)
+    del seen, often
+    row = np.repeat(np.arange(n_texts, dtype=np.int32), [len(x) for x in sets])
     keys, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    del sets
     in_toxic = np.bincount(col, weights=toxic[row], minlength=len(keys))
     share = toxic.mean()
     tells = (in_toxic - count * share) / np.sqrt(count * share * (1 - share) + 1)
-    kept = np.flatnonzero((count >= min(LEAST_TEXTS, max(1, len(toxic) // 20))) & (np.abs(tells) >= 3))
-    kept = np.sort(kept[np.argsort(-np.abs(tells[kept]), kind="stable")[:FEATURES]])
+    kept = np.flatnonzero((count >= least) & (np.abs(tells) >= 3))
     if not len(kept):
         return none
-    slot = np.full(len(keys), -1)
-    slot[kept] = np.arange(len(kept))
-    used = slot[col] >= 0
-    row, col = row[used], slot[col][used]
-    w, t = _fit(row, col, len(sets), len(kept), toxic)
-    evidence = np.bincount(row, weights=w[col], minlength=len(sets))
+    place = np.full(len(keys), -1)
+    place[kept] = np.arange(len(kept))
+    used = place[col] >= 0
+    row, col = row[used], place[col[used]]
+    w, t = _fit(row, col, n_texts, len(kept), toxic)
+    evidence = np.bincount(row, weights=w[col], minlength=n_texts)
     middle = np.median(evidence[toxic == 1])
     grade = np.where(toxic == 0, 0, np.where(evidence > middle, 2, 1))
     if len(np.unique(grade)) == 3:
-        w, t = _fit(row, col, len(sets), len(kept), grade)
+        w, t = _fit(row, col, n_texts, len(kept), grade)
     live = w != 0
+    release()
     return Ordinal(keys[kept][live], w[live], t)
 
 
