@@ -25,7 +25,6 @@ PATTERNS_ZH = {
     "SUMMARY": "(总结|概括|归纳|整理|综述|提炼|简述)",
     "IRRELEVANT_UNSOLVABLE": "(最喜欢的颜色|空气速度|unladen swallow|不相关)",
 }
-CUES_EN = (("MULTI_DOC_INTEGRATION", 0.6), ("MULTI_DOC_COMPARISON", 0.6), ("MULTI_DOC_TIMESEQ", 0.8))
 BOOSTS = {"MULTI_DOC_TIMESEQ": 0.2, "MULTI_DOC_COMPARISON": 0.15, "MULTI_DOC_INTEGRATION": 0.1, "SUMMARY": 0.1, "MULTIHOP": 0.1}
 LABELS_EN = {
     "FACTUAL": "Factual Question",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,30 +26,37 @@ def joined(texts: Column) -> Column:
     return F.concat_ws(" ", F.transform(texts, without_prefix))
 
 
-def words_precision(found: Column, truth: Column, most: int = 5) -> Column:
-    """Distinct words of the first `most` retrieved texts that the truth has too, as a share of them."""
-    r, g = F.array_distinct(T.tokens(F.concat_ws(" ", F.slice(found, 1, most)))), F.array_distinct(T.tokens(F.concat_ws(" ", truth)))
+def _distinct_words(texts: Column, zh: bool) -> Column:
+    joined_texts = F.concat_ws(" ", texts)
+    return F.array_distinct(T.han_grams(joined_texts) if zh else T.tokens(joined_texts))
+
+
+def words_precision(found: Column, truth: Column, most: int = 5, zh: bool = False) -> Column:
+    """Distinct words of the first `most` retrieved texts that the truth has too, as a share of them;
+    for zh, Han characters and pairs."""
+    r, g = _distinct_words(F.slice(found, 1, most), zh), _distinct_words(truth, zh)
     return _ratio(F.size(F.array_intersect(r, g)), F.size(r))
 
 
-def words_recall(found: Column, truth: Column) -> Column:
-    r, g = F.array_distinct(T.tokens(F.concat_ws(" ", found))), F.array_distinct(T.tokens(F.concat_ws(" ", truth)))
+def words_recall(found: Column, truth: Column, zh: bool = False) -> Column:
+    r, g = _distinct_words(found, zh), _distinct_words(truth, zh)
     return _ratio(F.size(F.array_intersect(r, g)), F.size(g))
 
 
-def _matched_words(found: Column, truth: Column) -> Column:
-    """Words of the truth's sentences that stand in the retrieved texts; repeats count."""
+def _matched_words(found: Column, truth: Column, zh: bool = False) -> Column:
+    """Words (for zh, characters) of the truth's sentences that stand in the retrieved texts; repeats count."""
     held = joined(found)
-    hits = F.filter(F.flatten(F.transform(truth, T.sentences)), lambda s: F.contains(held, s))
-    return F.aggregate(hits, F.lit(0), lambda n, s: n + T.count_words(s))
+    hits = F.filter(F.flatten(F.transform(truth, T.han_sentences if zh else T.sentences)), lambda s: F.contains(held, s))
+    return F.aggregate(hits, F.lit(0), lambda n, s: n + (F.length(s) if zh else T.count_words(s)))
 
 
-def sentence_precision(found: Column, truth: Column) -> Column:
-    return _ratio(_matched_words(found, truth), T.count_words(joined(found)))
+def sentence_precision(found: Column, truth: Column, zh: bool = False) -> Column:
+    return _ratio(_matched_words(found, truth, zh), F.length(joined(found)) if zh else T.count_words(joined(found)))
 
 
-def sentence_recall(found: Column, truth: Column) -> Column:
-    return _ratio(_matched_words(found, truth), T.count_words(F.concat_ws(" ", truth)))
+def sentence_recall(found: Column, truth: Column, zh: bool = False) -> Column:
+    whole = F.concat_ws(" ", truth)
+    return _ratio(_matched_words(found, truth, zh), F.length(whole) if zh else T.count_words(whole))
 
 
 def exists_match(query: Column, references: Column) -> Column:
@@ -78,26 +87,23 @@ def rouge_l(lcs: Column, hypothesis: Column, reference: Column) -> Column:
     return _ratio(2 * p * r, p + r)
 
 
-def _grams(words: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+def _clipped(hypothesis: Column, reference: Column, most: int) -> Column:
+    """For each n up to `most`, n-grams of the hypothesis that the reference has too, each counted as
+    often as in both; linear in the tokens, by Arrow batches."""
 
+    @F.pandas_udf("array<int>")
+    def run(h: pd.Series, r: pd.Series) -> pd.Series:
+        grams = lambda words, n: Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        return pd.Series([[(grams(list(x), n) & grams(list(y), n)).total() for n in range(1, most + 1)] for x, y in zip(h, r, strict=True)])
 
-def _clipped(h: Column, r: Column) -> Column:
-    """Grams of h that r has too, each counted as often as in both."""
-    same = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-    return F.aggregate(F.array_distinct(h), F.lit(0), lambda s, g: s + F.least(same(h, g), same(r, g)))
+    return run(F.coalesce(hypothesis, F.array().cast("array<string>")), F.coalesce(reference, F.array().cast("array<string>")))
 
 
 def bleu(hypothesis: Column, reference: Column, most: int = 4) -> Column:
     """Sentence BLEU with clipped counts and brevity penalty; 0 where some order has no match."""
-    logs = F.lit(0.0)
-    positive = F.lit(True)
-    for n in range(1, most + 1):
-        h, r = _grams(hypothesis, n), _grams(reference, n)
-        hits = _clipped(h, r)
-        positive = positive & (hits > 0)
-        logs = logs + F.when(hits > 0, F.log(hits / F.size(h))).otherwise(0.0) / most
+    hits = _clipped(hypothesis, reference, most)
+    logs = F.aggregate(F.transform(hits, lambda x, i: F.log(F.greatest(x, F.lit(1)) / F.greatest(F.size(hypothesis) - i, F.lit(1)))), F.lit(0.0), lambda s, x: s + x) / most
+    positive = F.array_min(hits) > 0
     brevity = F.when(F.size(hypothesis) > F.size(reference), 1.0).otherwise(F.exp(1 - F.size(reference) / F.greatest(F.size(hypothesis), F.lit(1))))
     return F.when(positive, brevity * F.exp(logs)).otherwise(0.0)
 

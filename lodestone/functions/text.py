@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 EN_TOKEN = "[a-z0-9']+"
 UNICODE_WORD = "(?U)\\w+"
 SENTENCE = "[^.!?\\n]+[.!?]*"
+HAN_SENTENCE = "[^\u3002\uff01\uff1f\\n]*[\u3002\uff01\uff1f]|[^\u3002\uff01\uff1f\\n]+"
 HAN = "[\\u4e00-\\u9fff]"
 HAN_NARROW = "[\\u4e00-\\u9fa5]"
 
@@ -62,7 +63,8 @@ def sentences(text: Column | str) -> Column:
 
 
 def han_sentences(text: Column | str) -> Column:
-    found = F.transform(F.split(_col(text), "(?<=[\\u3002\\uff01\\uff1f])\\s*|\\n"), lambda s: F.trim(s))
+    """Trimmed sentences, each with its closing mark; by line breaks too; blanks dropped."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(HAN_SENTENCE), F.lit(0)), lambda s: F.trim(s))
     return F.filter(found, lambda s: s != "")
 
 

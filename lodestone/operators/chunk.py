@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Separators, coarsest first; the last splits anywhere.
-EN_SEPARATORS = (r"\n\n+", r"\n", r"(?<=[.!?])\s+", r"\s+", "")
+#: Separators, coarsest first; the last splits anywhere.
+EN_SEPARATORS = (r"\n\n+", r"\n", r"(?<=[.!?])\s+(?=[A-Z])", r"\s+", "")
 ZH_SEPARATORS = (r"\n{2,}", r"\n", "。", "！", "？", "；", "，", r"\.", "!", r"\?", "")
 
 
@@ -83,9 +83,15 @@ def recursive_chunks(docs: DataFrame, size: Column | int, overlap: Column | int,
 
 
 def query_aware_chunks(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks of all documents for each distinct policy of the queries (chunk_size, chunk_overlap), once each."""
-    policies = queries.select("chunk_size", "chunk_overlap").distinct()
-    return recursive_chunks(docs.join(policies, how="cross"), F.col("chunk_size"), F.col("chunk_overlap"), text)
+    """Chunks of all documents for each distinct policy of the queries (chunk_size, chunk_overlap), once each.
+
+    There are no more policies than query types, so they come to the driver and each document is
+    exploded by a literal list of them."""
+    policies = [F.struct(F.lit(r[0]).alias("chunk_size"), F.lit(r[1]).alias("chunk_overlap")) for r in sorted(queries.select("chunk_size", "chunk_overlap").distinct().collect())]
+    if not policies:
+        policies = [F.struct(F.lit(None).cast("int").alias("chunk_size"), F.lit(None).cast("int").alias("chunk_overlap"))]
+    each = docs.withColumn("_p", F.explode(F.array(*policies))).select(*docs.columns, "_p.chunk_size", "_p.chunk_overlap").where("chunk_size is not null")
+    return recursive_chunks(each, F.col("chunk_size"), F.col("chunk_overlap"), text)
 
 
 def semantic_breaks(sentences: DataFrame, limit: float) -> DataFrame:

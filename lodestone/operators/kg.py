@@ -90,8 +90,10 @@ def entities_in_query(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, entity) of entities whose whole name stands in the query, by its word n-grams."""
     from lodestone.functions import text as T
 
-    grams = queries.select("query_id", F.explode(T.ngrams(F.split(F.lower("text"), r"\s+"), 6)).alias("entity"))
-    return grams.join(index.select("entity").distinct(), "entity")
+    names = index.select("entity").distinct()
+    longest = names.agg(F.max(F.size(F.split("entity", r"\s+")))).first()[0] or 1
+    grams = queries.select("query_id", F.explode(T.ngrams(F.split(F.lower("text"), r"\s+"), longest)).alias("entity"))
+    return grams.join(names, "entity")
 
 
 def hops(seeds: DataFrame, triples: DataFrame, most: int = MAX_HOPS) -> DataFrame:

@@ -70,10 +70,13 @@ def key_point_judge(answer: Column, points: Column, least: float = 0.6) -> Colum
 
 
 def extractive_answer(query: Column, context: Column) -> Column:
-    """The sentence of the context that has most of the query's tokens; the first of equals."""
+    """The sentence of the context that has most of the query's tokens; the first of equals, empty
+    where none has any. Headings of sources are no sentences."""
     q = F.array_distinct(T.tokens(query))
-    rated = F.transform(T.sentences(context), lambda s, i: F.struct(F.size(F.array_intersect(q, T.tokens(s))).alias("n"), (-i).alias("i"), s.alias("s")))
-    return F.coalesce(F.array_max(rated)["s"], F.lit(""))
+    body = F.regexp_replace(context, r"(?m)^### Source .*$", "")
+    rated = F.transform(T.sentences(body), lambda s, i: F.struct(F.size(F.array_intersect(q, T.tokens(s))).alias("n"), (-i).alias("i"), s.alias("s")))
+    best = F.array_max(rated)
+    return F.coalesce(F.when(best["n"] > 0, best["s"]), F.lit(""))
 
 
 def call(rows: DataFrame, prompt: str, model: Callable[[str], str], out: str = "answer", retries: int = 3) -> DataFrame:

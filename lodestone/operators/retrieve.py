@@ -36,14 +36,39 @@ class RetrieveConfig:
         return RetrieveConfig(**{"dense_weight": 0.25 if language.startswith("zh") else 0.7, **values})
 
 
-def bm25_of(queries: DataFrame, docs: DataFrame, config: RetrieveConfig = RetrieveConfig(), stop: list[str] | None = None) -> DataFrame:
-    """BM25 of queries (query_id, text) on docs (doc_id, text)."""
-    tokens = T.tokens("text", stop)
+def bm25_of(queries: DataFrame, docs: DataFrame, config: RetrieveConfig = RetrieveConfig(), stop: list[str] | None = None, zh: bool = False) -> DataFrame:
+    """BM25 of queries (query_id, text) on docs (doc_id, text); for zh by Han characters and pairs."""
+    tokens = T.han_grams(F.coalesce("text", F.lit(""))) if zh else T.tokens("text", stop)
     tf = S.postings(docs, tokens)
     idf = S.bm25_idf(S.token_stats(tf), S.corpus_stats(docs, tokens))
     return S.bm25(S.query_terms(queries, tokens), tf, idf, config.k1, config.b)
 
 
+def policy_retrieve(queries: DataFrame, docs: DataFrame, config: RetrieveConfig = RetrieveConfig()) -> DataFrame:
+    """query_id, doc_id, chunk_index, page_content, score, rank: each query's best chunks among those
+    of its own policy. queries: query_id, text, chunk_size, chunk_overlap; docs: doc_id, text.
+
+    Statistics are those of a policy's chunks; documents are cut once for each policy."""
+    from .chunk import query_aware_chunks
+
+    policy = ["chunk_size", "chunk_overlap"]
+    chunks = query_aware_chunks(docs.select("doc_id", "text"), queries)
+    words = chunks.select(*policy, "doc_id", "chunk_index", T.tokens("page_content").alias("_t"))
+    sizes = words.groupBy(*policy).agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    rows = words.select(*policy, "doc_id", "chunk_index", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    tf = rows.groupBy(*policy, "doc_id", "chunk_index", "dl", "token").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(*policy, "token").agg(F.count("*").alias("df")).join(F.broadcast(sizes), policy)  # a row a policy
+    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy(*policy).agg(F.avg("raw").alias("mean"))
+    idf = raw.join(F.broadcast(mean), policy).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")))
+    asked = queries.select("query_id", *policy, F.explode(T.tokens("text")).alias("token")).groupBy("query_id", *policy, "token").agg(F.count("*").alias("qtf"))
+    terms = asked.join(idf.select(*policy, "token", "idf", "avgdl"), [*policy, "token"])
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
+    scores = tf.join(terms, [*policy, "token"]).groupBy("query_id", *policy, F.struct("doc_id", "chunk_index").alias("chunk")).agg(F.sum(part).alias("score"))
+    best = S.ranked(scores, config.top_k, doc="chunk").select("query_id", *policy, "chunk.doc_id", "chunk.chunk_index", "score", "rank")
+    return best.join(chunks, [*policy, "doc_id", "chunk_index"])
+
+
 def query_keywords(queries: DataFrame, known: DataFrame | None = None, least: int = 3) -> DataFrame:
     """(query_id, keywords, source): those of the keyword table, by id first, then by trimmed text, else extracted.
 

@@ -36,8 +36,8 @@ def missing_ids(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 def first_of_content(rows: DataFrame, content: str, order: str) -> DataFrame:
     """First row of each content by order: an aggregate, so hot contents are combined before the shuffle."""
-    keep = rows.groupBy(content).agg(F.min(order).alias(order))
-    return rows.join(keep.select(order), order, "left_semi")
+    every = F.struct(order, *[c for c in rows.columns if c not in (order, content)])
+    return rows.groupBy(content).agg(F.min_by(every, order).alias("_r")).select(*[F.col(c) if c == content else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
 def split_languages(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:

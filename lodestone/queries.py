@@ -414,7 +414,18 @@ def rouge_l(spark, sf):
     return t.select("conv_id", "turn", F.round(M.rouge_l(T.lcs_length("h", "r"), F.col("h"), F.col("r")), 6).alias("f"))
 
 
-@query()
+def _gram_counts(side: str) -> str:
+    return f"SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, unnest(CASE WHEN len({side}) >= n THEN list_transform(range(1, CAST(len({side}) - n + 2 AS BIGINT)), lambda i: array_to_string({side}[i:i + n - 1], ' ')) ELSE [] END) AS g FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL"
+
+
+_BLEU = f"""WITH l AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+t AS (SELECT conv_id, turn, {_TOK} AS h, {_TOK.replace('text', 'next')} AS r FROM l WHERE next IS NOT NULL),
+hits AS (SELECT conv_id, turn, n, sum(least(a.c, b.c)) AS m FROM ({_gram_counts('h')}) a JOIN ({_gram_counts('r')}) b USING (conv_id, turn, n, g) GROUP BY ALL),
+p AS (SELECT conv_id, turn, count(*) AS orders, sum(ln(m / (len(h) - n + 1))) / 4 AS logs FROM hits JOIN t USING (conv_id, turn) GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN orders = 4 THEN exp(logs) * CASE WHEN len(h) > len(r) THEN 1 ELSE exp(1 - len(r) / greatest(len(h), 1)) END ELSE 0 END, 6) AS bleu FROM t LEFT JOIN p USING (conv_id, turn)"""
+
+
+@query(_BLEU)
 def bleu(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.round(M.bleu(T.tokens("text"), T.tokens("next")), 6).alias("bleu"))
 
@@ -536,19 +547,24 @@ def kg_entity_boost(spark, sf):
     return b.select("query_id", "doc_id", F.round("boost", 6).alias("boost"))
 
 
-@query(
-    f"""WITH {_TRIPLES}, ed AS (SELECT DISTINCT * FROM (SELECT lower(head) AS a, lower(tail) AS b FROM t UNION ALL SELECT lower(tail), lower(head) FROM t)),
+_HOPS = f"""{_TRIPLES}, ed AS (SELECT DISTINCT * FROM (SELECT lower(head) AS a, lower(tail) AS b FROM t UNION ALL SELECT lower(tail), lower(head) FROM t)),
 h0 AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, lower(r_name) AS entity, 0 AS hop FROM region),
 h1 AS (SELECT DISTINCT query_id, b AS entity, 1 AS hop FROM h0 JOIN ed ON entity = a WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM h0)),
-h2 AS (SELECT DISTINCT query_id, b AS entity, 2 AS hop FROM h1 JOIN ed ON entity = a WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM h0 UNION ALL SELECT (query_id, entity) FROM h1))
-SELECT query_id, entity, CAST(hop AS INTEGER) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
-)
+h2 AS (SELECT DISTINCT query_id, b AS entity, 2 AS hop FROM h1 JOIN ed ON entity = a WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM h0 UNION ALL SELECT (query_id, entity) FROM h1))"""
+
+
+@query(f"WITH {_HOPS} SELECT query_id, entity, CAST(hop AS INTEGER) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)")
 def kg_multihop(spark, sf):
     seeds = _read(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lower("r_name").alias("entity"))
     return kg.hops(seeds, _triples(spark, sf)).select("query_id", "entity", F.col("hop").cast("int").alias("hop"))
 
 
-@query()
+@query(
+    f"""WITH {_HOPS}, reached AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2),
+ix AS (SELECT DISTINCT lower(e) AS entity, CAST(doc_id AS VARCHAR) AS doc_id FROM (SELECT head AS e, doc_id FROM t UNION ALL SELECT tail, doc_id FROM t)),
+raw AS (SELECT query_id, doc_id, sum(pow(0.5, hop)) AS raw FROM reached JOIN ix USING (entity) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, raw / max(raw) OVER (PARTITION BY query_id) AS score FROM raw) {_top("sc", 50)}"""
+)
 def kg_rank_docs(spark, sf):
     seeds = _read(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lower("r_name").alias("entity"))
     return kg.rank_docs(seeds, _triples(spark, sf))
@@ -594,7 +610,10 @@ def lost_in_middle(spark, sf):
     return top.select("query_id", "doc_id", P.lost_in_middle(F.col("n"), F.col("rank")).alias("place"))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT {{'d': doc_id, 'i': CAST(s / 800 AS INTEGER)}} AS doc_id, substr(text, s + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 800)) AS s FROM documents WHERE length(text) > 0)), {_BM25.replace('FROM documents', 'FROM w')},
+pa AS (SELECT query_id, doc_id.d AS doc_id, max(score) AS score FROM bm GROUP BY ALL) {_top("pa", 6)}"""
+)
 def parent_docs(spark, sf):
     """BM25 on fixed windows, then the best window of each document."""
     chunks = _docs(spark, sf).select("doc_id", F.posexplode(chunk.fixed_windows(F.col("text"), 1000, 200)).alias("i", "text"))
@@ -621,3 +640,43 @@ def predictions(spark, sf):
     items = _items(spark, sf).withColumn("language", F.lit("en"))
     v = _docs(spark, sf)
     return infer(items, v, providers.hashing_embedder(16)).select("query_id", F.to_json("prediction").alias("prediction"))
+
+
+# --- other languages and policies --------------------------------------------------------------
+
+#: Stand-ins for a Han text, since the tables have none: each letter becomes a character.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz. ", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余。"
+_ZH = f"translate(lower(coalesce(text, '')), '{_LETTERS}', '{_HAN}')"
+_GRAMS = "flatten(list_transform(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))".format(_ZH)
+
+
+def _han(column: str = "text"):
+    return F.translate(F.lower(F.coalesce(column, F.lit(""))), _LETTERS, _HAN)
+
+
+@query(f"WITH {_BM25.replace(_TOK, _GRAMS)} {_top('bm', 6)}")
+def zh_bm25_topk(spark, sf):
+    """BM25 by Han characters and pairs."""
+    items, docs = (x.withColumn("text", _han()) for x in (_items(spark, sf), _docs(spark, sf)))
+    return S.ranked(retrieve.bm25_of(items, docs, zh=True), 6)
+
+
+_ZH_TURNS = f"""l AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+t AS (SELECT conv_id, turn, {_ZH} AS h, {_ZH.replace('text', 'next')} AS g FROM l WHERE next IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_ZH_TURNS}, m AS (SELECT *, coalesce(list_sum(list_transform(list_filter(list_transform(regexp_extract_all(g, '[^。！？\n]*[。！？]|[^。！？\n]+'), lambda s: trim(s)), lambda s: s <> '' AND contains(h, s)), lambda s: length(s))), 0) AS n FROM t)
+SELECT conv_id, turn, round(CASE WHEN length(h) > 0 THEN n / length(h) ELSE 0 END, 6) AS p, round(CASE WHEN length(g) > 0 THEN n / length(g) ELSE 0 END, 6) AS r FROM m"""
+)
+def zh_sentence_pr(spark, sf):
+    """Sentence precision and recall by characters, for Han texts."""
+    t = _turns(spark, sf).withColumns({"f": F.array(_han("text")), "g": F.array(_han("next"))})
+    return t.select("conv_id", "turn", F.round(M.sentence_precision(F.col("f"), F.col("g"), True), 6).alias("p"), F.round(M.sentence_recall(F.col("f"), F.col("g"), True), 6).alias("r"))
+
+
+@query()
+def policy_topk(spark, sf):
+    """The best chunks of each benchmark item among those cut by its own policy."""
+    asked = C.chunk_policy(C.classify(_items(spark, sf).withColumn("language", F.lit("en")), "text"))
+    return retrieve.policy_retrieve(asked, _docs(spark, sf)).select("query_id", "doc_id", "chunk_index", "rank", "score")

@@ -37,10 +37,15 @@ def whole_json(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists; storage faults are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def whole_json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same, without rows if the file is missing."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not there(spark, path):
         return spark.createDataFrame([], schema)
     return whole_json(spark, path, schema)
 
@@ -69,10 +74,9 @@ def processed_ids(rows: DataFrame) -> DataFrame:
 
 def vectors(spark: SparkSession, path: str, keys: DataFrame, dim: int) -> DataFrame | None:
     """A stored vector table, if it has each (policy, content_hash) key with `dim` values; else None: compute anew."""
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
+    if not there(spark, path):
         return None
+    stored = spark.read.parquet(path)
     wrong = keys.join(stored.where(F.size("embedding") == dim), ["policy", "content_hash"], "left_anti").limit(1).count()
     return None if wrong else stored
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import there
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -47,8 +49,5 @@ def words(df: DataFrame, path: str, column: str = "word") -> None:
 def append_missing(df: DataFrame, path: str, key: str) -> None:
     """Appends rows whose key is not in the table yet: a step can be run again after a failure."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-    except Exception:
-        done = None
+    done = spark.read.parquet(path).select(key).distinct() if there(spark, path) else None
     (df.join(done, key, "left_anti") if done is not None else df).write.mode("append").parquet(path)

@@ -38,6 +38,6 @@ def test_same_rows_as_sql(spark, sf, con, name):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["recursive_chunks", "rouge_l", "bleu", "kg_rank_docs", "parent_docs"])
+@pytest.mark.parametrize("name", ["recursive_chunks", "rouge_l", "policy_topk", "predictions"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
