@@ -3,7 +3,8 @@
 Pieces are dealt over partitions and packed there by best-fit decreasing. Lower bounds from
 dual-feasible functions certify each partition's bin count; partitions that may have a bin too
 many give the documents of their unfilled bins to a common pool, which is dealt again over fewer
-partitions and repacked, until a bound certifies the whole or the pool stops shrinking.
+partitions and repacked, in ROUNDS rounds at most: each leaves about one unfilled bin in a partition
+of PER_TASK pieces, so what a further round could save is less than a bin in thousands.
 """
 
 from __future__ import annotations
@@ -13,30 +14,50 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, cut, text_bytes
-from .bpe import BLOCK, loaded
+from .bpe import BLOCK, BytePairs, loaded
 
 CAPACITY, END = 1024, 2
+#: The vocabulary's added token, which the library finds in any text, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Pieces that one task packs.
 PER_TASK = 40_000
 ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _ids(pairs: BytePairs, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text and their offsets; the added token's string is one id, what is between is encoded apart."""
+    if not pc.any(pc.match_substring(column, ADDED)).as_py():
+        return pairs.encode(*text_bytes(column))
+    parts, first = [], []
+    for text in column.to_pylist():
+        first.append(len(parts))
+        parts += (text or "").split(ADDED)
+    ids, at = pairs.encode(*text_bytes(pa.array(parts, pa.string())))
+    added = np.ones(len(parts), bool)  # before each part but a text's first
+    added[first] = False
+    before = np.concatenate([[0], np.cumsum(added)])
+    rows = np.array([*first, len(parts)])
+    return np.insert(ids, at[:-1][added], ADDED_ID), at[rows] + before[rows]
+
+
 def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Each document's ids and `end`, cut into pieces of `capacity` ids, the first maybe shorter.
 
-    In: doc_id, text. Null or empty texts have the id `end` alone. Special tokens' strings count
-    as ordinary text. The ids are those of the `tokenizers` library for the same vocabulary.
+    In: doc_id, text; other columns are not read. Null or empty texts have the id `end` alone;
+    repeated rows stay, no rows give no rows. The ids are those of the `tokenizers` library for the
+    same vocabulary, which takes the string of the added token as that token.
     """
 
     def run(batches):
         pairs = loaded(ranks_path)
         for block in blocks(batches, BLOCK):
-            ids, at = pairs.encode(*text_bytes(block.column(1)))
+            ids, at = _ids(pairs, block.column(1))
             raw = ids.astype("<u4").tobytes()
             tail = np.array([end], "<u4").tobytes()
             out: list[tuple] = []

@@ -265,6 +265,35 @@ def test_packing(spark, sf):
     assert len(bins) <= packing.lower_bound(lengths) + 1
 
 
+def test_packing_ids_of_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "hello world <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "<|endoftext", "plain é 漢 text" * 300, "tail<|endoftext|>"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(90, None)]
+    got = packing.pieces(spark.createDataFrame(rows, DOCS).withColumn("piece", F.lit("clash")), RANKS).collect()
+    for d, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, packing.END], "<u4")
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == d)
+        assert sum(n for _, _, n, _ in mine) == len(ids)
+        assert all(c == zlib.crc32(ids[s : s + n].tobytes()) and n <= 1024 for _, s, n, c in mine)
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), RANKS).count() == 0
+
+
+def test_long_matches_that_sums_confuse(spark):
+    a = "a"
+    for _ in range(10):  # Thue-Morse words: equal polynomial sums modulo 2**64
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert a != b
+    got = {r.doc_id: r.decoded_sha256 for r in bpe.encode_decode(spark.createDataFrame([(1, a), (2, b)], DOCS), RANKS).collect()}
+    assert got == {1: hashlib.sha256(a.encode()).hexdigest(), 2: hashlib.sha256(b.encode()).hexdigest()}
+    raw = a.encode() + b.encode()
+    hashes, _ = lm.words(np.frombuffer(raw, np.uint8), np.array([0, len(a), len(raw)]))
+    assert hashes[0] != hashes[1]
+
+
 def test_repacking(spark):
     rng = np.random.default_rng(5)
     rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 1024, 3000))]
