@@ -68,8 +68,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: The fitted classifier, connected components and packing can't be written in SQL; tests compare
-#: each stage with a brute-force version.
+#: The fitted classifier, connected components and packing can't be written in SQL; tests compare the
+#: stages after the first with plain versions, and the classifier with labels.
 ORACLE_SQL = None
 
 
