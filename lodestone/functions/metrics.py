@@ -135,6 +135,13 @@ def ratios_by_label(labels: Column) -> Column:
     return F.struct(share(good).alias("completeness"), share(wrong).alias("hallucination"), share(n - wrong - good).alias("irrelevance"))
 
 
+def ratios_of_found(labels: Column) -> Column:
+    """The same over the labels that were found, a null or unknown one being none; null where none was."""
+    known = F.filter(labels, lambda x: x.isin("Relevant", "Irrelevant", "Wrong"))
+    share = lambda name: F.size(F.filter(known, lambda x: x == name)) / F.when(F.size(known) > 0, F.size(known))
+    return F.struct(share("Relevant").alias("completeness"), share("Wrong").alias("hallucination"), share("Irrelevant").alias("irrelevance"))
+
+
 def ratios_by_ids(complete: Column, irrelevant: Column, total: Column) -> Column:
     """The same from id lists, each capped at the total; hallucination is what is left, maybe below 0."""
     c, i = F.least(F.size(complete), total), F.least(F.size(irrelevant), total)
@@ -171,3 +178,7 @@ def get_metric(name: str) -> Callable[[Column, Column], Column]:
     if name not in REGISTRY:
         raise KeyError(f"unknown metric {name}; known: {sorted(REGISTRY)}")
     return REGISTRY[name]
+
+
+#: Metric sets of the full and of the plain evaluation.
+PROFILES = {"full": ("Words_Precision", "Words_Recall", "Sentences_Precision", "Sentences_Recall", "eir", "snr"), "baseline": ("precision", "recall", "eir")}

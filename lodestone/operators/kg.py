@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.prompts import path_lines
+
 #: Allowed entity types.
 ENTITY_TYPES = ("Organization", "Person", "Subsidiary", "Event", "ESGAction", "GovernanceChange", "MedicalRecord", "Patient", "Location", "Time")
+#: Canonical relations.
+RELATIONS = ("founded", "located", "subsidiary", "acquisition", "invested", "financials", "dividend", "incident", "ESG", "management_change", "governance_change", "medical")
 MAX_HOPS, DECAY = 2, 0.5
 
 
@@ -121,3 +125,66 @@ def rank_docs(seeds: DataFrame, triples: DataFrame, k: int = 50, most: int = MAX
 def health(triples: DataFrame) -> DataFrame:
     """Counts that tell whether a graph can be used."""
     return triples.agg(F.count("*").alias("triples"), F.count_if(F.coalesce("head", F.lit("")) == "").alias("no_head"), F.count_if(F.coalesce("tail", F.lit("")) == "").alias("no_tail"), F.count_if(F.col("doc_id").isNull()).alias("no_doc"))
+
+
+def checked(triples: DataFrame, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """Triples with `problem`: no_end, entity_type, relation, or null where they keep the schema."""
+    end = (F.coalesce("head", F.lit("")) == "") | (F.coalesce("tail", F.lit("")) == "")
+    kind = ~F.coalesce(F.col("head_type").isin(*ENTITY_TYPES), F.lit(False)) | ~F.coalesce(F.col("tail_type").isin(*ENTITY_TYPES), F.lit(False))
+    return triples.withColumn("problem", F.when(end, "no_end").when(kind, "entity_type").when(~F.coalesce(F.col("relation").isin(*relations), F.lit(False)), "relation"))
+
+
+def with_defaults(triples: DataFrame, docs: DataFrame) -> DataFrame:
+    """Triples whose missing domain and language are those of their document (doc_id, domain, language)."""
+    about = docs.select("doc_id", F.col("domain").alias("_domain"), F.col("language").alias("_language"))
+    rows = triples.join(about, "doc_id", "left")
+    return rows.withColumns({"domain": F.coalesce("domain", "_domain"), "language": F.coalesce("language", "_language")}).drop("_domain", "_language")
+
+
+def domains(triples: DataFrame) -> DataFrame:
+    """(doc_id, domain): the domain of each document's first triple that has one."""
+    return triples.where("domain is not null").groupBy("doc_id").agg(F.min_by("domain", "pos").alias("domain"))
+
+
+def paths(seeds: DataFrame, triples: DataFrame, most: int = MAX_HOPS) -> DataFrame:
+    """(query_id, entity, hop, path): as hops(), with the steps of a shortest way, the first by text."""
+    t = triples.select(F.lower("head").alias("a"), F.lower("tail").alias("b"), path_lines(F.col("head"), F.col("relation"), F.col("tail")).alias("step"))
+    edges = t.unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "step")).groupBy("a", "b").agg(F.min("step").alias("step"))
+    seen = seeds.select("query_id", "entity").distinct().withColumns({"hop": F.lit(0), "path": F.lit("")})
+    frontier = seen
+    for i in range(1, most + 1):
+        way = F.concat_ws(" ; ", F.when(F.col("path") != "", F.col("path")), "step")
+        reached = frontier.join(edges, frontier["entity"] == edges["a"]).groupBy("query_id", F.col("b").alias("entity")).agg(F.min(way).alias("path"))
+        frontier = reached.join(seen.select("query_id", "entity"), ["query_id", "entity"], "left_anti").select("query_id", "entity", F.lit(i).alias("hop"), "path")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def evidence(ranked_docs: DataFrame, reached: DataFrame, triples: DataFrame, docs: int = 5, each: int = 3) -> DataFrame:
+    """(query_id, doc_id, rank, score, paths, evidence_triples) of each query's first `docs` documents: up
+    to `each` paths to their entities and up to `each` of their triples that touch a reached entity, by hop,
+    then text. `reached` is that of paths()."""
+    top = ranked_docs.where(F.col("rank") <= docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    t = triples.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower("head").alias("_h"), F.lower("tail").alias("_t"), path_lines(F.col("head"), F.col("relation"), F.col("tail")).alias("_line"))
+    ends = t.select("doc_id", "_line", F.explode(F.array("_h", "_t")).alias("entity"))
+    rows = top.select("query_id", "doc_id").join(ends, "doc_id").join(reached, ["query_id", "entity"])
+    lines = rows.groupBy("query_id", "doc_id", F.col("_line").alias("line")).agg(F.min("hop").alias("hop")).withColumn("kind", F.lit("triple"))
+    ways = rows.where("path <> ''").groupBy("query_id", "doc_id", F.col("path").alias("line")).agg(F.min("hop").alias("hop")).withColumn("kind", F.lit("path"))
+    order = Window.partitionBy("query_id", "doc_id", "kind").orderBy("hop", "line")
+    best = lines.unionByName(ways).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "line")))), lambda x: x["line"])
+    found = best.groupBy("query_id", "doc_id").agg(of("path").alias("paths"), of("triple").alias("evidence_triples"))
+    none = F.array().cast("array<string>")
+    return top.join(found, ["query_id", "doc_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("paths", "evidence_triples")})
+
+
+def entity_info(seeds: DataFrame, triples: DataFrame, most: int = MAX_HOPS) -> DataFrame:
+    """(query_id, entities_found, related_doc_ids, multi_hop_entities, max_hops): counts and lists, sorted."""
+    reached = hops(seeds, triples, most)
+    index = entity_index(triples)
+    docs = seeds.join(index, "entity").groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("related_doc_ids"))
+    found = seeds.join(index.select("entity").distinct(), "entity", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("entities_found"))
+    far = reached.groupBy("query_id").agg(F.count_if(F.col("hop") > 0).alias("multi_hop_entities"), F.max("hop").alias("max_hops"))
+    none = F.array().cast("array<string>")
+    out = far.join(found, "query_id", "left").join(docs, "query_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("entities_found", "related_doc_ids")})

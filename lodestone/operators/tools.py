@@ -78,3 +78,27 @@ def sweep(docs: DataFrame, sizes: list[int], overlap_share: float = 0.15) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def best_size(trials: DataFrame, size: str = "size", value: str = "recall") -> DataFrame:
+    """(size, value, best): the mean of each size; the highest is best, the smaller size of equals."""
+    means = trials.groupBy(size).agg(F.avg(value).alias(value))
+    top = means.agg(F.max(F.struct(F.col(value), (-F.col(size)).alias("n"))).alias("_top"))
+    return means.join(F.broadcast(top), how="cross").withColumn("best", -F.col("_top.n") == F.col(size)).drop("_top")  # one row
+
+
+def by_document(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_index", text: str = "text") -> DataFrame:
+    """(doc_id, chunks): the chunks of each document in order."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return chunks.groupBy(doc).agg(F.transform(rows, lambda x: x["t"]).alias("chunks"))
+
+
+def first_rows(rows: DataFrame, order: str, n: int | None = None) -> DataFrame:
+    """The first n rows by position; all without n."""
+    return rows if n is None else rows.orderBy(order).limit(n)
+
+
+def in_language(rows: DataFrame, language: str, column: str = "lang", default: str = "en") -> DataFrame:
+    """Rows with `language`: the one asked for, or with "auto" each row's own, `default` where it has none."""
+    own = F.coalesce(F.when(F.trim(column) != "", F.col(column)), F.lit(default))
+    return rows.withColumn("language", own if language == "auto" else F.lit(language))

@@ -680,3 +680,6 @@ def policy_topk(spark, sf):
     """The best chunks of each benchmark item among those cut by its own policy."""
     asked = C.chunk_policy(C.classify(_items(spark, sf).withColumn("language", F.lit("en")), "text"))
     return retrieve.policy_retrieve(asked, _docs(spark, sf)).select("query_id", "doc_id", "chunk_index", "rank", "score")
+
+
+from lodestone import answer_queries  # noqa: E402, F401  registers the rest
