@@ -39,9 +39,9 @@ class RetrieveConfig:
 def bm25_of(queries: DataFrame, docs: DataFrame, config: RetrieveConfig = RetrieveConfig(), stop: list[str] | None = None, zh: bool = False) -> DataFrame:
     """BM25 of queries (query_id, text) on docs (doc_id, text); for zh by Han characters and pairs."""
     tokens = T.han_grams(F.coalesce("text", F.lit(""))) if zh else T.tokens("text", stop)
-    tf = S.postings(docs, tokens)
-    idf = S.bm25_idf(S.token_stats(tf), S.corpus_stats(docs, tokens))
-    return S.bm25(S.query_terms(queries, tokens), tf, idf, config.k1, config.b)
+    terms = S.query_terms(queries, tokens)
+    idf = S.bm25_idf(S.document_counts(docs, tokens), S.corpus_stats(docs, tokens))
+    return S.bm25(terms, S.postings(docs, tokens, vocabulary=terms), idf, config.k1, config.b)
 
 
 def policy_retrieve(queries: DataFrame, docs: DataFrame, config: RetrieveConfig = RetrieveConfig()) -> DataFrame:

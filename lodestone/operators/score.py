@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.7
 
 
-def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
-    """(key, token, tf, dl): a document's tokens and their counts; dl counts all its tokens."""
+def postings(docs: DataFrame, tokens: Column, key: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf, dl): a document's tokens and their counts; dl counts all its tokens. With a
+    vocabulary (token) the others are left out before anything is shuffled."""
     rows = docs.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    if vocabulary is not None:
+        rows = rows.join(vocabulary.select("token").distinct(), "token", "left_semi")
     return rows.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
+def document_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(token, df) without postings: tokens are counted before the shuffle, so the vocabulary moves, not the text."""
+    # the filter changes nothing, but joins add it to their side, and equal plans are run once
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("df"))
+
+
 def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     """One row: n documents and their mean length, those without tokens included."""
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"), F.sum(F.size(tokens)).alias("total"))
@@ -120,10 +129,10 @@ def hybrid(sparse: DataFrame, dense: DataFrame, weight: float = 0.7, query: str
     dense has every pair; a pair that sparse lacks scores 0 there, and counts in its range.
     """
     both = dense.select(query, doc, F.col("score").alias("d")).join(sparse.select(query, doc, F.col("score").alias("s")), [query, doc], "left").na.fill(0.0, ["s"])
-    w = Window.partitionBy(query)
-    both = both.select("*", *[f(c).over(w).alias(f"{c}_{n}") for c in "sd" for n, f in (("low", F.min), ("high", F.max))])
+    # ranges by partial aggregates: no task holds all pairs of a query
+    ranges = both.groupBy(query).agg(*[f(c).alias(f"{c}_{n}") for c in "sd" for n, f in (("low", F.min), ("high", F.max))])
     score = (1 - weight) * min_max(F.col("s"), F.col("s_low"), F.col("s_high")) + weight * min_max(F.col("d"), F.col("d_low"), F.col("d_high"))
-    return both.select(query, doc, score.alias("score"))
+    return both.join(ranges, query).select(query, doc, score.alias("score"))
 
 
 def candidate_count(n: Column, k: int, multiplier: float) -> Column:
