@@ -27,7 +27,14 @@ def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
 
 
 def batched(model: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 32) -> Callable[[Column], Column]:
-    """An embedder from a function of a list of texts; a batch that fails gives zeros."""
+    """An embedder from a function of a list of texts. A batch that fails is taken text by text, and a
+    text that fails gives zeros, which are like nothing; without_vector() tells those rows."""
+
+    def alone(text: str) -> list[float]:
+        try:
+            return model([text])[0]
+        except Exception:
+            return [0.0] * dim
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -38,12 +45,17 @@ def batched(model: Callable[[list[str]], list[list[float]]], dim: int, batch: in
                 try:
                     out += model(part)
                 except Exception:
-                    out += [[0.0] * dim] * len(part)
+                    out += [alone(t) for t in part]
             yield pd.Series(out)
 
     return run
 
 
+def without_vector(vector: Column) -> Column:
+    """Whether an embedder failed on a row: its vector is missing or all zeros."""
+    return F.coalesce(~F.exists(vector, lambda x: x != 0), F.lit(True))
+
+
 def overlap_scorer(query: Column, text: Column) -> Column:
     """In place of a cross-encoder: share of the query's distinct tokens that the text has."""
     q = F.array_distinct(T.tokens(query))

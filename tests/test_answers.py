@@ -49,6 +49,17 @@ def test_keywords_by_meaning(spark):
     assert len(found) == 2 and found[0].score >= found[1].score
 
 
+def test_an_embedder_fails_text_by_text(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(1, "one"), (2, "bad"), (3, None)], "id long, text string").coalesce(1)
+    got = rows.withColumn("v", providers.batched(model, 2)(F.col("text"))).withColumn("failed", providers.without_vector(F.col("v")))
+    assert [(r.id, list(r.v), r.failed) for r in got.orderBy("id").collect()] == [(1, [3, 1], False), (2, [0, 0], True), (3, [0, 1], False)]
+
+
 def test_index_is_built_once_and_searched(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apples grow here"), (2, "blue seas lie there"), (3, "red apples grow here")], "doc_id long, text string")
     chunks = index.cached_chunks(docs, f"{tmp_path}/chunks", size=20, overlap=0)
