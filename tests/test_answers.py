@@ -101,3 +101,23 @@ def test_command_line(spark, tmp_path):
     triples = lines("t.jsonl", [{"doc_id": 1, "pos": 0, "head": "A", "head_type": "Organization", "relation": "founded", "tail": "B", "tail_type": "Person"}])
     main(["graph", triples, f"{tmp_path}/graph"], spark)
     assert spark.read.parquet(f"{tmp_path}/graph/entities").count() == 2
+
+
+def test_rouge_of_all_turns_against_a_plain_table(spark, sf):
+    from lodestone.queries import QUERIES, _turns
+
+    def rouge(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+            last = row
+        n = last[-1]
+        p, r = n / max(1, len(a)), n / max(1, len(b))
+        return 2 * p * r / (p + r) if n else 0.0
+
+    tokens = _turns(spark, sf).select("conv_id", "turn", T.tokens("text").alias("a"), T.tokens("next").alias("b"))
+    want = {(r.conv_id, r.turn): rouge(r.a, r.b) for r in tokens.collect()}
+    got = {(r.conv_id, r.turn): r[2] for r in QUERIES["rouge_l"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
