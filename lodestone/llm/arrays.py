@@ -138,6 +138,13 @@ def release() -> None:
         pass
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Collect the garbage that the steps so far left on the driver, where the heap else grows to its
+    limit first; shuffles and broadcasts that nothing reads any more go with it."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by block prefix and suffix minima."""
     n = len(x)

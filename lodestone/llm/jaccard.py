@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import blocks, cut, drop_table, mix, partitions, release, text_bytes, word_hashes, word_spans
+from .arrays import blocks, cut, drop_table, mix, partitions, release_driver, text_bytes, word_hashes, word_spans
 from .components import connected_components
 
 #: Least similarity in percent; words of a shingle.
@@ -84,7 +84,27 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+class Frequencies:
+    """Frequency classes of the slots in compressed pieces, which the driver passes on as they came;
+    where it is unpickled, it is the table."""
+
+    def __init__(self, pieces: list[bytes], per: int):
+        self.pieces, self.per = pieces, per
+
+    def __reduce__(self):
+        return expand, (self.pieces, self.per)
+
+
+def expand(pieces: list[bytes], per: int) -> np.ndarray:
+    """The table of these pieces; an empty piece has no shingles."""
+    table = np.zeros(len(pieces) * per, np.uint8)
+    for i, x in enumerate(pieces):
+        if x:
+            table[i * per : (i + 1) * per] = np.frombuffer(pa.Codec("zstd").decompress(x, per), np.uint8)
+    return table
+
+
+def frequency_table(docs: DataFrame, words: int = WORDS) -> Frequencies:
     """Frequency classes (8 a doubling, as bytes) of the slots, from all shingles of all documents."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     slots = LEAST_SLOTS
@@ -128,15 +148,15 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 at = np.cumsum(np.frombuffer(x, np.uint8, n), dtype=np.int64)
                 count = np.frombuffer(x[n:], np.uint16)
                 total[at[count > 0]] += count[count > 0]
-        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "classes"])
+        classes = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
+        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([pa.Codec("zstd", 3).compress(classes, asbytes=True)], pa.binary())], names=["chunk", "classes"])
 
     # a chunk is a fixed share of the table, whatever the input; its parts are added as they come
     found = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    table = np.zeros(slots, np.uint8)
+    pieces = [b""] * CHUNKS
     for r in found.groupBy("chunk").applyInArrow(add, "chunk int, classes binary").collect():
-        table[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(bytes(r["classes"]), np.uint8)
-    release()
-    return table
+        pieces[r["chunk"]] = bytes(r["classes"])
+    return Frequencies(pieces, per)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -265,7 +285,8 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    table = spark.sparkContext.broadcast(frequency_table(docs, words))  # MOST_SLOTS bytes at most
+    table = spark.sparkContext.broadcast(frequency_table(docs, words))  # MOST_SLOTS bytes at most, before compression
+    release_driver(spark)
 
     def describe(batches):
         for block in blocks(batches, 1 << 19):
@@ -298,6 +319,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     about = nodes.select("node", "n", F.array_max("prefix").alias("last"), (F.col("n") - F.size("prefix")).alias("rest"))
     joined = connected_components(edges, "shared")
     roots = cut(joined.join(shared, "node").join(about, "node"), "roots")
+    release_driver(spark)
     weights = roots.groupBy("root").agg((F.sum(F.size("shared")) * PREFIX_WEIGHT).alias("weight"))
 
     def refine(table: pa.Table) -> pa.Table:
@@ -315,6 +337,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     weights = candidates.groupBy("root").agg(F.sum("n").alias("weight"))
     candidates = cut(candidates.select("node", "hash", "root").join(weights, "root"), "candidates")
     drop_table(runs, joined, roots, near)
+    release_driver(spark)
 
     # a filter of fixed size on the texts' hashes spares most sets the shuffle
     bit = F.pmod("hash", F.lit(FILTER_BITS))
@@ -361,6 +384,7 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     found = connected_components(links, "components")
     table.destroy()
     wanted.destroy()
+    release_driver(spark)
     named = nodes.select("node", "more", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     group = named.join(least, "root").select("node", "more", "component_id")
@@ -368,4 +392,5 @@ def components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> D
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     result = cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "grouped")
     drop_table(rows, nodes, candidates, found)
+    release_driver(spark)
     return result

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .arrays import BYTE_VALUES, blocks, mix, prefix_sums, release, slice_hashes, text_bytes
+from .arrays import BYTE_VALUES, blocks, mix, prefix_sums, release_driver, slice_hashes, text_bytes
 
 #: Labelled rows that the classifier is fitted on at most, taken by a hash of their id.
 TRAINING_ROWS = 6_000
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Ordina
     for x, y in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         seen[x] = max(seen.get(x, 0), y)
     del table
+    release_driver(spark)
     toxic = np.array([1 if y else 0 for y in seen.values()])
     if not len(toxic) or toxic.min() == toxic.max():
         return none
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Ordina
     if len(np.unique(grade)) == 3:
         w, t = _fit(row, col, n_texts, len(kept), grade)
     live = w != 0
-    release()
+    release_driver(spark)
     return Ordinal(keys[kept][live], w[live], t)
 
 

@@ -2,6 +2,7 @@
 repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -352,6 +353,28 @@ def test_jaccard(spark, sf, monkeypatch, percent, words, block):
     assert jaccard.components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_frequency_table_is_sent_small(spark, sf):
+    sent = pickle.dumps(jaccard.frequency_table(spark.read.parquet(f"{sf}/documents.parquet"), 3))
+    table, counts = pickle.loads(sent), Counter()
+    for _, t in rows_of(sf, "documents", "doc_id, text"):
+        hashes, _ = jaccard.shingles(*text_bytes(pa.array([t], pa.string())), 3)
+        counts.update((hashes & np.uint64(len(table) - 1)).tolist())
+    want = np.zeros(len(table), np.uint8)
+    for slot, n in counts.items():
+        want[slot] = min(255, 8 * np.log2(1.0 + n))
+    assert np.array_equal(table, want) and len(sent) < 0.8 * len(want)
+
+
+def test_jaccard_leaves_little_on_the_driver(spark, sf):
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) / 1e6
+    found = jaccard.components(spark.read.parquet(f"{sf}/documents.parquet"), 80, 5)
+    left = used()
+    jvm.System.gc()
+    assert left - used() < 30 and found.count()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = dict(sorted_rows(connected_components(spark.createDataFrame(edges, "a long, b long"))))
