@@ -73,7 +73,8 @@ def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(rows, kind="stable")
     r = rows.take(order)
     edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    return r[edges], np.add.reduceat(values.take(order, 0), edges, axis=0), np.diff(np.append(edges, len(r)))
+    sums = np.add.reduceat(values.take(order, 0).view(np.complex64), edges, axis=0).view(np.float32)  # two columns at once; WIDTH is even
+    return r[edges], sums, np.diff(np.append(edges, len(r)))
 
 
 class Attention:
@@ -129,27 +130,26 @@ class Attention:
         pair = (given.astype(np.uint32) * np.uint32(40503) + before.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(16)
         return given, target, pair.astype(np.uint16), off
 
-    def attend(self, e: np.ndarray, pair: np.ndarray, last: int):
-        """Contexts, ending in 1, of the last cells of each window; also what the gradients need."""
-        p, n, cells = self.p, len(e), e.shape[1]
-        own = e[:, cells - last :]
-        flat = e.reshape(-1, WIDTH)
-        q = (own.reshape(-1, WIDTH) @ (p["query"] * np.float32(WIDTH**-0.5))).reshape(n, last, WIDTH)
-        k, v = (flat @ p["key"]).reshape(n, cells, WIDTH), (flat @ p["value"]).reshape(n, cells, WIDTH)
+    def mixed(self, own: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, pair: np.ndarray):
+        """Contexts, ending in 1, of the last cells of each window, from their embeddings and queries
+        and the keys and values of all cells; also the attention, its weights before they are scaled to
+        a sum of 1, and that scale."""
+        n, last, cells = len(own), own.shape[1], k.shape[1]
+        bias = self.p["lag"][:, 0]
         lag = np.arange(cells - last, cells)[:, None] - np.arange(cells)
-        w = q @ k.transpose(0, 2, 1)
-        w += np.where(lag >= 0, p["lag"][np.maximum(lag, 0), 0], np.float32(-1e9)).astype(np.float32)
-        if _norm(q) * _norm(k) + float(np.abs(p["lag"]).max()) > MOST:
-            np.minimum(w, MOST, out=w)
-        np.exp(w, out=w)
-        w /= (w.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
+        u = q @ k.transpose(0, 2, 1)
+        u += np.where(lag >= 0, bias[np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
+        if _norm(q) * _norm(k) + float(np.abs(bias).max()) > MOST:
+            np.minimum(u, MOST, out=u)
+        np.exp(u, out=u)
+        scale = 1 / (u.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
+        found = u @ v
+        found *= scale
         h = np.empty((n, last, WIDTH + 1), np.float32)
         h[..., WIDTH] = 1
-        mixed = w @ v
-        mixed += own
-        mixed += pair
-        h[..., :WIDTH] = mixed
-        return own, q, k, v, w, h
+        np.add(found, own, out=h[..., :WIDTH])
+        h[..., :WIDTH] += pair
+        return h, found, u, scale
 
     def softmax(self, h: np.ndarray, y: np.ndarray, grads: bool = False, weight: np.ndarray | None = None):
         """Log probability of each target given its context; with grads also those of h, top and out
@@ -158,11 +158,12 @@ class Attention:
         order = np.argsort(y, kind="stable")
         ys, hs = y.take(order).astype(np.int64), h.take(order, 0)
         rows = _ROWS[:n] if n <= len(_ROWS) else np.arange(n)
-        longest = _norm(hs)
+        longest = _norm(hs[:, :WIDTH])
         z = hs @ p["top"].T
-        if longest * _norm(p["top"]) > MOST:
+        if longest * _norm(p["top"][:, :WIDTH]) + float(np.abs(p["top"][:, WIDTH]).max(initial=0)) > MOST:  # the bias stands beside the product
             np.clip(z, -MOST, MOST, out=z)
-        wide = longest * _norm(p["out"]) > MOST
+        far = longest * np.sqrt(np.einsum("ij,ij->i", p["out"][:, :WIDTH], p["out"][:, :WIDTH])) + np.abs(p["out"][:, WIDTH])
+        wide = (np.maximum.reduceat(far, self.edge[: self.classes - 1]) > MOST).tolist() if self.n else []
         spot = rows * self.classes + self.class_of.take(ys)
         total = z.reshape(-1).take(spot)
         np.exp(z, out=z)
@@ -183,7 +184,7 @@ class Attention:
                 continue
             weights, part = p["out"][low : low + size], hs[a:b]
             z = part @ weights.T
-            if wide:
+            if wide[c]:
                 np.clip(z, -MOST, MOST, out=z)
             spot = rows[: b - a] * size + (ys[a:b] - low)
             total[a:b] += z.reshape(-1).take(spot)
@@ -203,9 +204,9 @@ class Attention:
         out[order] = total
         if not grads:
             return out
-        back = np.empty((n, WIDTH), np.float32)
-        back[order] = dh[:, :WIDTH]
-        return out, back, dtop, dout
+        place = np.empty(n, np.int64)
+        place[order] = rows
+        return out, dh[:, :WIDTH].take(place, 0), dtop, dout
 
     def gradients(self, given, target, pair, start, stop, weight=None):
         """Of the negative log likelihood of windows: name to (rows or None, values, times used)."""
@@ -215,33 +216,36 @@ class Attention:
         np.minimum(cell, len(given) - 1, out=cell)
         x, slot = given.take(cell), pair.take(cell)
         e = p["embed"].take(x, 0)
-        own, q, k, v, w, h = self.attend(e, p["pair"].take(slot, 0), CONTEXT)
+        flat, scale = e.reshape(-1, WIDTH), np.float32(WIDTH**-0.5)
+        q, k, v = ((flat @ m).reshape(e.shape) for m in (p["query"] * scale, p["key"], p["value"]))
+        h, found, u, share = self.mixed(e, q, k, v, p["pair"].take(slot, 0))
         each = None if weight is None else np.broadcast_to(weight[:, None], real.shape)[real]
-        whole = bool(real.all())  # no masks needed
-        y = target.take(cell).ravel() if whole else target.take(cell)[real]
-        log, ds, dtop, dout = self.softmax(h.reshape(-1, WIDTH + 1) if whole else h[real], y, True, each)
-        if whole:
-            dh = ds.reshape(len(x), CONTEXT, WIDTH)
+        spots = None if real.all() else np.flatnonzero(real)  # none: all are real
+        some = lambda values: values if spots is None else values.take(spots, 0)
+        y = some(target.take(cell).ravel())
+        log, ds, dtop, dout = self.softmax(some(h.reshape(-1, WIDTH + 1)), y, True, each)
+        if spots is None:
+            rest = ds
         else:
-            dh = np.zeros((len(x), CONTEXT, WIDTH), np.float32)
-            dh[real] = ds
-        dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
-        dw *= w
-        dw -= w * (dw.reshape(-1, CONTEXT) @ _ONES[:CONTEXT]).reshape(len(w), CONTEXT, 1)
+            place = np.full(x.size, len(ds))  # the row of zeros behind
+            place[spots] = np.arange(len(ds))
+            rest = np.concatenate([ds, np.zeros((1, WIDTH), np.float32)]).take(place, 0)
+        dh = rest.reshape(e.shape)
+        part = dh * share
+        du, dv = part @ v.transpose(0, 2, 1), (u.transpose(0, 2, 1) @ part).reshape(-1, WIDTH)
+        du -= np.einsum("...i,...i->...", part, found)[..., None]
+        du *= u
         lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
-        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dw.sum(0), 0).ravel(), minlength=CONTEXT)
-        dq, dk = (dw @ k).reshape(-1, WIDTH), (dw.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        dv, flat, rest = dv.reshape(-1, WIDTH), e.reshape(-1, WIDTH), dh.reshape(-1, WIDTH)
-        scale = np.float32(WIDTH**-0.5)
+        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, du.sum(0), 0).ravel(), minlength=CONTEXT)
+        dq, dk = (du @ k).reshape(-1, WIDTH), (du.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
         de = rest + dk @ p["key"].T
         de += dv @ p["value"].T
         de += dq @ (p["query"].T * scale)
         n = len(log)
         every = lambda g: (None, g.astype(np.float32), n)
-        used = slice(None) if whole else real.ravel()
         grads = {"query": every(flat.T @ dq * scale), "key": every(flat.T @ dk), "value": every(flat.T @ dv), "lag": every(dlag[:, None]), "top": every(dtop)}
-        grads["embed"] = _row_sums(x.ravel()[used], de[used])
-        grads["pair"] = _row_sums(slot.ravel()[used], rest[used])
+        grads["embed"] = _row_sums(some(x.ravel()), some(de))
+        grads["pair"] = _row_sums(some(slot.ravel()), ds)
         grads["out"] = (None, dout, np.bincount(y, minlength=self.n + 1)[: self.n])
         return log, grads
 
@@ -266,6 +270,10 @@ class Attention:
         given, target, pair, off = self.stream(ranks, at)
         out = np.zeros(len(at) - 1)
         start, stop, text, whole = windows(off, CONTEXT, STRIDE)
+        # what hangs on the id alone is taken from tables: embeddings with queries, keys with values
+        p = self.p
+        asks = np.concatenate([p["embed"], p["embed"] @ (p["query"] * np.float32(WIDTH**-0.5))], axis=1)
+        tells = p["embed"] @ np.concatenate([p["key"], p["value"]], axis=1)
         # a text's first window is scored from its start, the others in their last STRIDE cells
         for some, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)):
             for i in range(0, len(some), chunk):
@@ -273,10 +281,12 @@ class Attention:
                 cell = start[r][:, None] + np.arange(CONTEXT)
                 real = cell[:, CONTEXT - last :] < stop[r][:, None]
                 np.minimum(cell, len(given) - 1, out=cell)
-                tail = cell[:, CONTEXT - last :]
-                h = self.attend(self.p["embed"].take(given.take(cell), 0), self.p["pair"].take(pair.take(tail), 0), last)[-1]
-                log = self.softmax(h[real], target.take(tail)[real])
-                out += np.bincount(np.broadcast_to(text[r][:, None], real.shape)[real], weights=log, minlength=len(out))
+                tail, x = cell[:, CONTEXT - last :], given.take(cell)
+                own, kv = asks.take(x[:, CONTEXT - last :], 0), tells.take(x, 0)
+                h = self.mixed(own[..., :WIDTH], own[..., WIDTH:], kv[..., :WIDTH], kv[..., WIDTH:], p["pair"].take(pair.take(tail), 0))[0]
+                spots = np.flatnonzero(real)
+                log = self.softmax(h.reshape(-1, WIDTH + 1).take(spots, 0), target.take(tail.ravel().take(spots)))
+                out += np.bincount(text[r].take(spots // last), weights=log, minlength=len(out))
         return out
 
 

@@ -482,6 +482,14 @@ def test_lm_scores_by_definition():
     assert np.exp(logs[: m.n]).sum() + (lm.VOCABULARY - m.n) * np.exp(logs[m.n]) == pytest.approx(1, rel=1e-4)
 
 
+def test_lm_row_sums():
+    rng = np.random.default_rng(4)
+    rows, values = rng.integers(0, 50, 400).astype(np.uint16), rng.standard_normal((400, lm.WIDTH)).astype(np.float32)
+    found, sums, times = lm._row_sums(rows, values)
+    assert found.tolist() == np.unique(rows).tolist() and times.tolist() == np.bincount(rows)[found].tolist()
+    assert np.allclose(sums, [values[rows == r].sum(0) for r in found], atol=1e-5)
+
+
 def test_lm_gradient():
     m, rng, known = random_model()
     ids, at = m.rank[rng.choice(known, 90)], np.array([0, 3, 90])
