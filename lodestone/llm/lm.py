@@ -33,15 +33,17 @@ CONTEXT, STRIDE, WIDTH, PAIRS = 24, 16, 12, 1 << 16
 END, VOCABULARY = 50256, 50257
 #: Ids of a shard, about; rounds; windows of a step; ids from which windows are shuffled.
 SHARD_IDS, ROUNDS, BATCH, MIXED = 8_000_000, 2, 1024, 1 << 20
-#: Ids scored at once.
-SCORED = 1 << 19
+#: Ids scored at once; rows, and windows in training, whose products are made at once, so that they stay in the cache.
+SCORED, ROWS, PART = 1 << 19, 1024, 128
 RATE = np.float32(0.2)
 #: Shards whose results one task sums; values of a parameter that it holds of each.
 FAN_IN, CHUNK = 32, 1 << 16
+#: Bytes of text whose words are hashed at once.
+WORDS = 1 << 18
 #: Most words whose counts are sent to all executors; others are joined by a shuffle.
 SENT_WORDS = 1 << 19
 MOST = np.float32(60)
-_ONES, _ROWS = np.ones(1 << 16, np.float32), np.arange(1 << 17)
+_ONES = np.ones(1 << 16, np.float32)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -49,9 +51,37 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word, A-Z lower-cased."""
-    low, first, last, text = word_spans(data, at)
-    return word_hashes(low, first, last), text
+    """Hash and text number of each word, A-Z lower-cased; a few texts at a time, whose sums stay in the cache."""
+    found, i = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + WORDS, side="right")) - 1)
+        low, first, last, text = word_spans(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        found.append((word_hashes(low, first, last), text + i))
+        i = j
+    hashes, texts = zip(*found, strict=True)
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+class Lookup:
+    """Places of hashes among known ones, which are sorted, by buckets of their first bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.shift = np.uint64(64 - max(1, len(known).bit_length() + 1))
+        edges = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(known, edges), len(known)).astype(np.int32)
+        self.known = np.append(known, np.uint64(0))  # a place behind the last
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is known."""
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first.take(bucket), self.first[1:].take(bucket)
+        hit = (self.known.take(at) == hashes) & (at < end)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit[left] = self.known.take(at.take(left)) == hashes.take(left)
+            left = left[~hit.take(left) & (at.take(left) + 1 < end.take(left))]
+        return at, hit
 
 
 def windows(off: np.ndarray, context: int, stride: int):
@@ -68,13 +98,17 @@ def _norm(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
 
 
+def _column_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each edge to the next."""
+    return np.add.reduceat(values.view(np.complex64), edges, axis=0).view(np.float32)  # two columns at once; WIDTH is even
+
+
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sum of each one's values, and how often it stands there."""
     order = np.argsort(rows, kind="stable")
     r = rows.take(order)
     edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    sums = np.add.reduceat(values.take(order, 0).view(np.complex64), edges, axis=0).view(np.float32)  # two columns at once; WIDTH is even
-    return r[edges], sums, np.diff(np.append(edges, len(r)))
+    return r[edges], _column_sums(values.take(order, 0), edges), np.diff(np.append(edges, len(r)))
 
 
 class Attention:
@@ -130,83 +164,141 @@ class Attention:
         pair = (given.astype(np.uint32) * np.uint32(40503) + before.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(16)
         return given, target, pair.astype(np.uint16), off
 
-    def mixed(self, own: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, pair: np.ndarray):
-        """Contexts, ending in 1, of the last cells of each window, from their embeddings and queries
-        and the keys and values of all cells; also the attention, its weights before they are scaled to
-        a sum of 1, and that scale."""
-        n, last, cells = len(own), own.shape[1], k.shape[1]
+    def weights(self, asks: np.ndarray, across: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Attention of the last cells of each window before it is scaled to a sum of 1, and that scale,
+        from their embeddings through query and key, and the embeddings of all cells, as columns. No
+        product of both exceeds `most`."""
+        n, last, cells = len(asks), asks.shape[1], across.shape[2]
         bias = self.p["lag"][:, 0]
         lag = np.arange(cells - last, cells)[:, None] - np.arange(cells)
-        u = q @ k.transpose(0, 2, 1)
+        u = asks @ across
         u += np.where(lag >= 0, bias[np.maximum(lag, 0)], np.float32(-1e9)).astype(np.float32)
-        if _norm(q) * _norm(k) + float(np.abs(bias).max()) > MOST:
+        if most + float(np.abs(bias).max()) > MOST:
             np.minimum(u, MOST, out=u)
         np.exp(u, out=u)
-        scale = 1 / (u.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
-        found = u @ v
-        found *= scale
-        h = np.empty((n, last, WIDTH + 1), np.float32)
-        h[..., WIDTH] = 1
-        np.add(found, own, out=h[..., :WIDTH])
-        h[..., :WIDTH] += pair
-        return h, found, u, scale
-
-    def softmax(self, h: np.ndarray, y: np.ndarray, grads: bool = False, weight: np.ndarray | None = None):
-        """Log probability of each target given its context; with grads also those of h, top and out
-        (of the log likelihood's negative, each target weighted)."""
-        p, n = self.p, len(y)
+        return u, 1 / (u.reshape(-1, cells) @ _ONES[:cells]).reshape(n, last, 1)
+
+    def softmaxes(self) -> tuple:
+        """For top and for out: rows, biases less the largest (of the class), their exp(), and lengths of rows."""
+        ready = []
+        for x, edge in (("top", np.zeros(1, np.int64)), ("out", self.edge[: self.classes - 1])):
+            rows, bias = np.ascontiguousarray(self.p[x][:, :WIDTH]), self.p[x][:, WIDTH]
+            if len(bias):
+                bias = bias - np.repeat(np.maximum.reduceat(bias, edge), np.diff(np.append(edge, len(bias))))
+            ready += [rows, bias, np.exp(bias), np.sqrt(np.einsum("ij,ij->i", rows, rows))]
+        return tuple(ready)
+
+    def softmax(self, h: np.ndarray, y: np.ndarray, grads: bool = False, weight: np.ndarray | None = None, at: np.ndarray | None = None, ready: tuple | None = None):
+        """Log probability of each target given its context, the first WIDTH columns of its row of h
+        (`at`, if given, tells the row); with grads also the order in which the targets are sorted, and
+        the gradients of h in that order, of top and of out (of the log likelihood's negative, each
+        target weighted).
+
+        A gradient is the mean of the rows of top (or out) less the target's row. Products are put to
+        exp() and summed as they are, the biases weight the sums, and the sums, of few columns, are
+        scaled to means instead of the weights.
+        """
+        top, top_bias, top_weight, top_far, out, out_bias, out_weight, out_far = ready or self.softmaxes()
+        n = len(y)
         order = np.argsort(y, kind="stable")
-        ys, hs = y.take(order).astype(np.int64), h.take(order, 0)
-        rows = _ROWS[:n] if n <= len(_ROWS) else np.arange(n)
-        longest = _norm(hs[:, :WIDTH])
-        z = hs @ p["top"].T
-        if longest * _norm(p["top"][:, :WIDTH]) + float(np.abs(p["top"][:, WIDTH]).max(initial=0)) > MOST:  # the bias stands beside the product
-            np.clip(z, -MOST, MOST, out=z)
-        far = longest * np.sqrt(np.einsum("ij,ij->i", p["out"][:, :WIDTH], p["out"][:, :WIDTH])) + np.abs(p["out"][:, WIDTH])
-        wide = (np.maximum.reduceat(far, self.edge[: self.classes - 1]) > MOST).tolist() if self.n else []
-        spot = rows * self.classes + self.class_of.take(ys)
-        total = z.reshape(-1).take(spot)
-        np.exp(z, out=z)
-        mass = z @ _ONES[: self.classes]
-        scale = weight.take(order) if weight is not None else None
+        ys = y.take(order).astype(np.int64)
+        hs = h[:, :WIDTH].take(order if at is None else at.take(order), 0)
+        edges, edge, sizes = np.searchsorted(ys, self.edge).tolist(), self.edge.tolist(), np.diff(self.edge[: self.classes])
+        known, of = edges[self.classes - 1], self.class_of.take(ys)
+        longest = _norm(hs)
+        clip = longest * float(top_far.max(initial=0)) > MOST
+        wide = (longest * np.maximum.reduceat(out_far, self.edge[: self.classes - 1]) > MOST).tolist() if self.n else []
+        # what stands in the exponents of the targets
+        own, total = top.take(of, 0), top_bias.take(of)
+        inside, near = out.take(ys[:known], 0), out_bias.take(ys[:known])
+        for c in np.flatnonzero(sizes == 1).tolist():
+            inside[edges[c] : edges[c + 1]] = 0  # nothing to tell apart
+        if clip:
+            raw = np.einsum("ij,ij->i", hs, own)
+            total += np.clip(raw, -MOST, MOST) - raw
+        for c in np.flatnonzero(wide).tolist():
+            raw = np.einsum("ij,ij->i", hs[edges[c] : edges[c + 1]], inside[edges[c] : edges[c + 1]])
+            near[edges[c] : edges[c + 1]] += np.clip(raw, -MOST, MOST) - raw
+        own[:known] += inside
+        total[:known] += near
+        total += np.einsum("ij,ij->i", hs, own)
+        scale = weight.take(order)[:, None] if weight is not None else None
+        mass, inner = np.empty(n, np.float32), np.ones(n, np.float32)
         if grads:
-            z *= (1 / mass)[:, None]
-            z.reshape(-1)[spot] -= 1
-            if scale is not None:
-                z *= scale[:, None]
-            dtop, dh, dout = z.T @ hs, z @ p["top"], np.zeros_like(p["out"])
-        edges, edge = np.searchsorted(ys, self.edge).tolist(), self.edge.tolist()
-        inner = np.ones(n, np.float32)
+            # contexts as columns, so that scaling them runs along the memory; rows by their weight, with the weight as the last
+            columns, means = np.ascontiguousarray(hs.T), np.empty((WIDTH, n), np.float32)
+            by = scale[:, 0] if scale is not None else None
+            tops, outs = (np.concatenate([x.T * w, w[None]]) for x, w in ((top, top_weight), (out, out_weight)))
+            dtop, dout = np.zeros((self.classes, WIDTH + 1), np.float32), np.zeros((self.n, WIDTH + 1), np.float32)
+
+        def summed(rows, sides, a, b, clipped, to):
+            """Of the targets from a to b: sums of exp() put in `to`, the means of the rows, and the gradient of the rows."""
+            z = rows @ columns[:, a:b]
+            if clipped:
+                np.clip(z, -MOST, MOST, out=z)
+            np.exp(z, out=z)
+            sums = sides @ z
+            to[a:b] = sums[WIDTH]
+            share = 1 / sums[WIDTH]
+            mean = sums[:WIDTH]
+            mean *= share
+            if by is not None:
+                share *= by[a:b]
+            part = np.empty((WIDTH + 1, b - a), np.float32)
+            np.multiply(columns[:, a:b], share, out=part[:WIDTH])
+            part[WIDTH] = share
+            return mean, z @ part.T
+
+        size = max(ROWS // 4, min(ROWS, (1 << 16) // self.classes))
+        for a in range(0, n, size):
+            b = min(a + size, n)
+            if grads:
+                means[:, a:b], more = summed(top, tops, a, b, clip, mass)
+                dtop += more
+                continue
+            z = hs[a:b] @ top.T
+            if clip:
+                np.clip(z, -MOST, MOST, out=z)
+            np.exp(z, out=z)
+            np.matmul(z, top_weight, out=mass[a:b])
         for c in range(self.classes - 1):
-            a, b, low = edges[c], edges[c + 1], edge[c]
-            size = edge[c + 1] - low
-            if a == b or size == 1:
+            a, b, low, high = edges[c], edges[c + 1], edge[c], edge[c + 1]
+            if a == b or high - low == 1:
                 continue
-            weights, part = p["out"][low : low + size], hs[a:b]
-            z = part @ weights.T
+            if grads:
+                more, dout[low:high] = summed(out[low:high], outs[:, low:high], a, b, wide[c], inner)
+                means[:, a:b] += more
+                continue
+            z = hs[a:b] @ out[low:high].T
             if wide[c]:
                 np.clip(z, -MOST, MOST, out=z)
-            spot = rows[: b - a] * size + (ys[a:b] - low)
-            total[a:b] += z.reshape(-1).take(spot)
             np.exp(z, out=z)
-            ones = _ONES[:size] if size <= len(_ONES) else np.ones(size, np.float32)
-            inner[a:b] = z @ ones
-            if grads:
-                z /= inner[a:b, None]
-                z.reshape(-1)[spot] -= 1
-                if scale is not None:
-                    z *= scale[a:b, None]
-                dout[low : low + size] = z.T @ part
-                dh[a:b] += z @ weights
-        total -= np.log(mass) + np.log(inner)
-        total[edges[self.classes - 1] :] += self.unseen
-        out = np.empty(n, np.float32)
-        out[order] = total
+            np.matmul(z, out_weight[low:high], out=inner[a:b])
+        total -= np.log(mass)
+        total -= np.log(inner)
+        total[known:] += self.unseen
+        logs = np.empty(n, np.float32)
+        logs[order] = total
         if not grads:
-            return out
-        place = np.empty(n, np.int64)
-        place[order] = rows
-        return out, dh[:, :WIDTH].take(place, 0), dtop, dout
+            return logs
+        ds = np.ascontiguousarray(means.T)
+        ds -= own
+        if scale is not None:
+            ds *= scale
+            hs *= scale
+        dtop *= top_weight[:, None]
+        dout *= out_weight[:, None]
+        # contexts of each target, summed
+        first = np.flatnonzero(np.append(True, ys[1:] != ys[:-1])[:n])
+        if len(first):
+            times = np.diff(np.append(first, n)) if scale is None else np.add.reduceat(scale[:, 0], first)
+            sums = np.concatenate([_column_sums(hs, first), times[:, None].astype(np.float32)], axis=1)
+            r, of = ys[first], of[first]
+            start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            dtop[of[start]] -= np.add.reduceat(sums, start, axis=0)
+            apart = (r < self.n) & (np.append(sizes, 1)[of] > 1)
+            dout[r[apart]] -= sums[apart]
+        return logs, order, ds, dtop, dout
 
     def gradients(self, given, target, pair, start, stop, weight=None):
         """Of the negative log likelihood of windows: name to (rows or None, values, times used)."""
@@ -216,36 +308,53 @@ class Attention:
         np.minimum(cell, len(given) - 1, out=cell)
         x, slot = given.take(cell), pair.take(cell)
         e = p["embed"].take(x, 0)
-        flat, scale = e.reshape(-1, WIDTH), np.float32(WIDTH**-0.5)
-        q, k, v = ((flat @ m).reshape(e.shape) for m in (p["query"] * scale, p["key"], p["value"]))
-        h, found, u, share = self.mixed(e, q, k, v, p["pair"].take(slot, 0))
+        scale = np.float32(WIDTH**-0.5)
+        both = p["query"] @ p["key"].T * scale
+        rows = lambda values: values.reshape(-1, WIDTH)
+        h, kept = np.empty_like(e), []
+        for i in range(0, len(x), PART):
+            o = e[i : i + PART]
+            asks, across = (rows(o) @ both).reshape(o.shape), np.ascontiguousarray(o.transpose(0, 2, 1))
+            u, share = self.weights(asks, across)
+            seen = u @ o
+            seen *= share
+            found = (rows(seen) @ p["value"]).reshape(o.shape)
+            np.add(found, o, out=h[i : i + PART])
+            h[i : i + PART] += p["pair"].take(slot[i : i + PART], 0)
+            kept.append((o, asks, across, u, share, seen, found))
         each = None if weight is None else np.broadcast_to(weight[:, None], real.shape)[real]
-        spots = None if real.all() else np.flatnonzero(real)  # none: all are real
-        some = lambda values: values if spots is None else values.take(spots, 0)
-        y = some(target.take(cell).ravel())
-        log, ds, dtop, dout = self.softmax(some(h.reshape(-1, WIDTH + 1)), y, True, each)
-        if spots is None:
-            rest = ds
-        else:
-            place = np.full(x.size, len(ds))  # the row of zeros behind
-            place[spots] = np.arange(len(ds))
-            rest = np.concatenate([ds, np.zeros((1, WIDTH), np.float32)]).take(place, 0)
-        dh = rest.reshape(e.shape)
-        part = dh * share
-        du, dv = part @ v.transpose(0, 2, 1), (u.transpose(0, 2, 1) @ part).reshape(-1, WIDTH)
-        du -= np.einsum("...i,...i->...", part, found)[..., None]
-        du *= u
-        lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
-        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, du.sum(0), 0).ravel(), minlength=CONTEXT)
-        dq, dk = (du @ k).reshape(-1, WIDTH), (du.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        de = rest + dk @ p["key"].T
-        de += dv @ p["value"].T
-        de += dq @ (p["query"].T * scale)
+        spots = np.flatnonzero(real)
+        y = target.take(cell).ravel().take(spots)
+        log, order, ds, dtop, dout = self.softmax(rows(h), y, True, each, spots)
         n = len(log)
+        spots = spots.take(order)  # as ds is sorted
+        place = np.full(x.size, n)  # the row of zeros behind
+        place[spots] = np.arange(n)
+        rest = (ds if n == x.size else np.concatenate([ds, np.zeros((1, WIDTH), np.float32)])).take(place, 0)
+        lag = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
+        dlags, dboth, dvalue = np.zeros(lag.shape, np.float32), np.zeros((WIDTH, WIDTH), np.float32), np.zeros((WIDTH, WIDTH), np.float32)
+        de = rest.reshape(e.shape)  # rest is added to, part by part, once it was read
+        for i, (o, asks, across, u, share, seen, found) in zip(range(0, len(x), PART), kept, strict=True):
+            d = de[i : i + PART]
+            part = d * share
+            back = (rows(part) @ p["value"].T).reshape(o.shape)
+            du = back @ across
+            du -= np.einsum("...i,...i->...", part, found)[..., None]
+            du *= u
+            dlags += du.sum(0)
+            dvalue += rows(seen).T @ rows(d)
+            dasks = du @ o
+            dboth += rows(o).T @ rows(dasks)
+            d += (rows(dasks) @ both.T).reshape(o.shape)
+            d += du.transpose(0, 2, 1) @ asks
+            d += u.transpose(0, 2, 1) @ back
+        dboth *= scale
+        dlag = np.bincount(np.maximum(lag, 0).ravel(), weights=np.where(lag >= 0, dlags, 0).ravel(), minlength=CONTEXT)
         every = lambda g: (None, g.astype(np.float32), n)
-        grads = {"query": every(flat.T @ dq * scale), "key": every(flat.T @ dk), "value": every(flat.T @ dv), "lag": every(dlag[:, None]), "top": every(dtop)}
-        grads["embed"] = _row_sums(some(x.ravel()), some(de))
-        grads["pair"] = _row_sums(some(slot.ravel()), ds)
+        grads = {"query": every(dboth @ p["key"]), "key": every(dboth.T @ p["query"]), "value": every(dvalue), "lag": every(dlag[:, None]), "top": every(dtop)}
+        # cells that are not real take no part, as the windows of a text end with it: they only follow
+        grads["embed"] = _row_sums(x.ravel().take(spots), rows(de).take(spots, 0))
+        grads["pair"] = _row_sums(slot.ravel().take(spots), ds)
         grads["out"] = (None, dout, np.bincount(y, minlength=self.n + 1)[: self.n])
         return log, grads
 
@@ -254,26 +363,31 @@ class Attention:
         log, grads = self.gradients(given, target, pair, start, stop, weight)
         shrink = np.float32(max(1, len(log)) ** -0.5)
         for x, (rows, g, times) in grads.items():
-            g = g * shrink
-            square = np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            square = np.einsum("ij,ij->i", g, g) * (shrink * shrink / np.float32(g.shape[1]))
             if rows is None:
-                rows = slice(None)
-            square += self.seen[x][rows]
-            self.seen[x][rows] = square
-            self.p[x][rows] -= g * (RATE / (np.sqrt(square) + np.float32(1e-3)))[:, None]
+                square += self.seen[x]
+                self.seen[x] = square
+            else:
+                square += self.seen[x].take(rows)
+                self.seen[x][rows] = square
+            g *= (RATE * shrink / (np.sqrt(square) + np.float32(1e-3)))[:, None]
+            if rows is None:
+                self.p[x] -= g
+            else:
+                self.p[x][rows] = self.p[x].take(rows, 0) - g
             if used is not None:
-                used[x][rows] += times
+                used[x][slice(None) if rows is None else rows] += times
         return float(log.sum())
 
-    def scores(self, ranks: np.ndarray, at: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    def scores(self, ranks: np.ndarray, at: np.ndarray, chunk: int = 2048) -> np.ndarray:
         """Natural log probability of each text with its end."""
         given, target, pair, off = self.stream(ranks, at)
         out = np.zeros(len(at) - 1)
         start, stop, text, whole = windows(off, CONTEXT, STRIDE)
-        # what hangs on the id alone is taken from tables: embeddings with queries, keys with values
-        p = self.p
-        asks = np.concatenate([p["embed"], p["embed"] @ (p["query"] * np.float32(WIDTH**-0.5))], axis=1)
-        tells = p["embed"] @ np.concatenate([p["key"], p["value"]], axis=1)
+        # what hangs on the id alone is taken from tables
+        p, ready = self.p, self.softmaxes()
+        queries, values = p["embed"] @ (p["query"] @ p["key"].T * np.float32(WIDTH**-0.5)), p["embed"] @ p["value"]
+        most = _norm(queries) * _norm(p["embed"])
         # a text's first window is scored from its start, the others in their last STRIDE cells
         for some, last in ((np.flatnonzero(whole), CONTEXT), (np.flatnonzero(~whole), STRIDE)):
             for i in range(0, len(some), chunk):
@@ -281,11 +395,15 @@ class Attention:
                 cell = start[r][:, None] + np.arange(CONTEXT)
                 real = cell[:, CONTEXT - last :] < stop[r][:, None]
                 np.minimum(cell, len(given) - 1, out=cell)
-                tail, x = cell[:, CONTEXT - last :], given.take(cell)
-                own, kv = asks.take(x[:, CONTEXT - last :], 0), tells.take(x, 0)
-                h = self.mixed(own[..., :WIDTH], own[..., WIDTH:], kv[..., :WIDTH], kv[..., WIDTH:], p["pair"].take(pair.take(tail), 0))[0]
+                tail, x = cell[:, CONTEXT - last :], given.take(cell).astype(np.int64)
+                e, ends = p["embed"].take(x, 0), x[:, CONTEXT - last :]
+                u, share = self.weights(queries.take(ends, 0), np.ascontiguousarray(e.transpose(0, 2, 1)), most)
+                h = u @ values.take(x, 0)
+                h *= share
+                h += e[:, CONTEXT - last :]
+                h += p["pair"].take(pair.take(tail), 0)
                 spots = np.flatnonzero(real)
-                log = self.softmax(h.reshape(-1, WIDTH + 1).take(spots, 0), target.take(tail.ravel().take(spots)))
+                log = self.softmax(h.reshape(-1, WIDTH), target.take(tail.ravel().take(spots)), at=spots, ready=ready)
                 out += np.bincount(text[r].take(spots // last), weights=log, minlength=len(out))
         return out
 
@@ -491,13 +609,11 @@ def score_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
         release()
 
     def base(batches):
-        known, logs = known_words.value
+        known, logs = Lookup(known_words.value[0]), known_words.value[1]
         for block in blocks(batches, BLOCK):
             hashes, text = words(*text_bytes(block.column(1)))
             rows = block.num_rows
-            slot = np.searchsorted(known, hashes)
-            slot[slot == len(known)] = 0
-            hit = known[slot] == hashes if len(known) else np.zeros(len(hashes), bool)
+            slot, hit = known(hashes)
             total = np.bincount(text[hit], weights=logs[slot[hit]] if hit.any() else None, minlength=rows)[:rows].astype(float)
             rest = np.flatnonzero(~hit)
             edge = np.searchsorted(text[rest], np.arange(rows + 1)).astype(np.int32)

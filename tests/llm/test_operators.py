@@ -521,6 +521,53 @@ def test_lm_gradient():
     assert m.scores(ids, at).sum() > before
 
 
+def test_lm_gradient_in_parts_and_of_copies(monkeypatch):
+    m, rng, known = random_model()
+    ids, at = m.rank[rng.choice(known, 900)], np.array([0, 0, 3, 90, 900])
+    given, target, pair, off = m.stream(ids, at)
+    start, stop, _, _ = lm.windows(off, lm.CONTEXT, lm.CONTEXT)
+    each = rng.integers(1, 4, len(start))
+    log, grads = m.gradients(given, target, pair, start, stop, each.astype(np.float32))
+    monkeypatch.setattr(lm, "PART", 5)
+    monkeypatch.setattr(lm, "ROWS", 32)
+    parts, again = m.gradients(given, target, pair, start, stop, each.astype(np.float32))
+    _, copies = m.gradients(given, target, pair, np.repeat(start, each), np.repeat(stop, each))
+    assert np.allclose(log, parts, atol=1e-4)
+    for x, (rows, g, _) in grads.items():
+        for other in (again[x], copies[x]):
+            assert rows is None or rows.tolist() == other[0].tolist()
+            assert np.allclose(g, other[1], atol=1e-3 * np.abs(g).max()), x
+
+
+def test_lm_softmax_far_out_stays_finite():
+    m, rng, _ = random_model()
+    h, y = rng.standard_normal((500, lm.WIDTH)).astype(np.float32), rng.integers(0, m.n + 1, 500).astype(np.uint16)
+    near = m.softmax(h, y)
+    assert np.allclose(near, m.softmax(h, y, True)[0], atol=1e-4)
+    logs, _, dh, dtop, dout = m.softmax(h * 1000, y, True)
+    assert all(np.isfinite(x).all() for x in (logs, dh, dtop, dout)) and (logs < 1e-3).all()
+    assert np.allclose(logs, m.softmax(h * 1000, y), rtol=1e-4, atol=1e-3)
+
+
+def test_lm_word_pieces_and_lookup(monkeypatch):
+    texts = ["", "Ab c", " ", "d" * 300, "", "ab  c e", "f"]
+    data, at = text_bytes(pa.array(texts))
+    hashes, text = lm.words(data, at)
+    assert text.tolist() == [i for i, t in enumerate(texts) for _ in t.split()]
+    monkeypatch.setattr(lm, "WORDS", 4)
+    pieces, text_of = lm.words(data, at)
+    assert pieces.tolist() == hashes.tolist() and text_of.tolist() == text.tolist()
+    assert [len(x) for x in lm.words(*text_bytes(pa.array([], pa.string())))] == [0, 0]
+    rng = np.random.default_rng(2)
+    some = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    full = (np.uint64(9) << np.uint64(60)) + np.arange(50, dtype=np.uint64)  # in one bucket
+    for known in (some[:0], some[:1], np.concatenate([some[:1000], full, np.array([0, 2**64 - 1], np.uint64)])):
+        known = np.unique(known)
+        asked = np.concatenate([some, full, known, known + np.uint64(1), np.zeros(1, np.uint64)])
+        place, hit = lm.Lookup(known)(asked)
+        assert hit.tolist() == np.isin(asked, known).tolist() and (known[place[hit]] == asked[hit]).all()
+
+
 def test_lm_trains_on_every_training_text_however_partitioned(spark, sf, monkeypatch):
     pairs = bpe.loaded(RANKS)
     firsts = {}  # texts of one id that no other text has
