@@ -9,7 +9,7 @@ from lodestone.functions import classify as C
 from lodestone.functions import metrics as M
 from lodestone.functions import prompts as P
 from lodestone.functions import text as T
-from lodestone.operators import kg, providers, report, retrieve, score
+from lodestone.operators import kg, providers, report, retrieve
 
 
 def infer(queries: DataFrame, docs: DataFrame, embed=None, config: retrieve.RetrieveConfig = retrieve.RetrieveConfig(), cut: int = 3) -> DataFrame:
@@ -19,9 +19,9 @@ def infer(queries: DataFrame, docs: DataFrame, embed=None, config: retrieve.Retr
     """
     embed = embed or providers.hashing_embedder()
     typed = C.chunk_policy(C.classify(queries, "text"))
-    dense = score.dense_scores(queries.select("query_id", embed(F.col("text")).alias("q")), docs.select("doc_id", embed(F.col("text")).alias("v")))
-    found = retrieve.hybrid_retrieve(queries, docs, dense, config).where(F.col("rank") <= cut)
-    chunks = found.join(docs, "doc_id").withColumn("label", P.metadata_label(doc_id=F.col("doc_id")))
+    vectors = queries.select("query_id", embed(F.col("text")).alias("q")), docs.select("doc_id", "text", embed(F.col("text")).alias("v"))
+    found = retrieve.hybrid_retrieve(queries, docs, vectors, config).where(F.col("rank") <= cut)
+    chunks = docs.join(F.broadcast(found), "doc_id").withColumn("label", P.metadata_label(doc_id=F.col("doc_id")))
     block = F.when(F.trim("text") != "", F.concat(F.lit("### Source "), F.col("rank").cast("string"), F.col("label"), F.lit("\n"), F.trim("text")))
     # context and references come from one aggregate, so the ranking is computed once
     refs = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text", block.alias("block")))).alias("r"))
