@@ -80,3 +80,25 @@ def test_rows_that_share_an_id_count_as_by_pairs(spark):
     assert rows(retrieve.scored(S.query_terms(asked, T.tokens("text")), retrieve.Corpus(docs), None), "query_id", "doc_id", "score") == rows(pairs(docs, asked), "query_id", "doc_id", "score")
     assert retrieve.bm25_topk(asked.where("query_id = 9"), docs, 3).count() == 0
     assert retrieve.bm25_topk(asked, docs.where("false"), 3).count() == 0
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "dense_l2_topk"])
+def test_vectors_are_scanned_not_joined(spark, sf, name):
+    from lodestone.queries import QUERIES
+
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_odd_vectors_count_as_by_pairs(spark, metric):
+    vectors = [(i, [float(i % 5), 1.0, float(i % 3) - 1]) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1.0, 2.0]), (43, [float("inf"), 1.0, 1.0]), (44, [0.0, 0.0, 0.0]), (45, [1e-3, 1e3, 1e5])]
+    docs = spark.createDataFrame(vectors, "doc_id long, v array<double>")
+    asked = docs.where("doc_id in (0, 7, 40, 42, 44, 45)").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    near = metric == "l2"
+    want = S.ranked(S.dense_scores(asked, docs, metric), 4, ascending=near)
+    assert rows(retrieve.dense_topk(asked, docs, 4, metric), "query_id", "doc_id", "score", "rank") == rows(want, "query_id", "doc_id", "score", "rank")
