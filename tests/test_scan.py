@@ -132,3 +132,26 @@ def test_passages_are_found_as_by_contains(spark, grown):
     items = spark.createDataFrame(asked, "query_id long, text string")
     want = docs.join(items.withColumnRenamed("text", "p"), F.contains("text", F.col("p"))).select("query_id", "doc_id")
     assert rows(retrieve.containing(items, docs).distinct(), "query_id", "doc_id") == rows(want.distinct(), "query_id", "doc_id")
+
+
+def test_tokens_cut_from_bytes_are_those_of_the_pattern(spark):
+    texts = ["It's 3 o'clock, ÉTÉ in Köln", "", None, "a", "b", "...", "İstanbul K 天地x玄", "tail"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    r = got.select(F.lower("text").alias("l"), T.tokens("text").alias("t")).toArrow().combine_chunks()
+    for part in (r, r.slice(3, 4)):
+        found, n = scan.LowerTexts().tokens(part.column("l").chunk(0))
+        want = part.column("t").to_pylist()
+        assert n.tolist() == [len(x) for x in want] and found.to_pylist() == [w for x in want for w in x]
+
+
+def test_han_grams_as_numbers(spark):
+    got = spark.createDataFrame([("天地x玄黄宇",), (None,), ("a",), ("洪",)], "t string").coalesce(1)
+    r = got.select("t", T.han_grams(F.coalesce("t", F.lit(""))).alias("g")).toArrow().combine_chunks()
+    want = [w for x in r.column("g").to_pylist() for w in x]
+    for few in (scan.HanGrams.FEW, 0):  # by a table, and by sorting
+        reader = scan.HanGrams()
+        reader.FEW = few
+        names, at, row, n = reader.counted(r.column("t").chunk(0))
+        assert sorted(names[i].as_py() for i in at.tolist()) == sorted(want) and n.tolist() == [len(x) for x in r.column("g").to_pylist()]
+        at, row, _ = reader.found(r.column("t").chunk(0), ["玄", "天地", "洪", "zz"[:1]])
+        assert sorted(at.tolist()) == [0, 1, 2] and sorted(row.tolist()) == [0, 0, 3]
