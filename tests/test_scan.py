@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import answers, retrieve, scan
+from lodestone.operators import retrieve, scan
 from lodestone.operators import score as S
 
 #: Queries whose pairs must not be shuffled.
